@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import duplicates, splits
+from . import confusables, duplicates, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,23 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "pool_records"), table(spark, d, "verifier_examples"))
 
 
+def _text_values(spark: SparkSession, d: str) -> DataFrame:
+    own = confusables.values(table(spark, d, "sentences"), "sentences", "row_id", ["text"])
+    return own.unionAll(confusables.values(table(spark, d, "pool_records"), "pool_records", "record_id", ["hypothesis", "premise_text"]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.deviating(_text_values(spark, d))
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.consistent(_text_values(spark, d))
+
+
+def p2_look_alikes(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.look_alike_classes(_text_values(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.surplus(table(spark, d, "pool_records"), "record_id", CLAIM, ["premise_reference"])
 
