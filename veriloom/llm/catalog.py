@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import confusables, duplicates, splits
+from . import confusables, duplicates, overlap, packing, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,22 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.collapsed(table(spark, d, "pool_records"), "record_id", CLAIM, ["premise_reference"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "pool_records"), table(spark, d, "rag_error_analysis"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "pool_records"), table(spark, d, "rag_error_analysis"))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents")))
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
 
