@@ -80,7 +80,7 @@ def _prefixes(forms: DataFrame, share: float) -> DataFrame:
                         if len(known) > 1_000_000:
                             known.clear()
                         h = known[t, k] = xxhash.xxh64_intdigest(t, seed=k) - (1 << 63)
-                    keys.append((often.get(t, 0) if k == 0 else 0, h))
+                    keys.append((often.get(t, 0), h))
                     if k == 0:
                         signature |= 1 << (h & 127)
                 keys.sort()
