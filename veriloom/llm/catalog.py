@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import confusables, duplicates, overlap, packing, splits
+from . import confusables, duplicates, overlap, packing, residue, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,14 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
 
