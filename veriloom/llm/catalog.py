@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import confusables, duplicates, overlap, packing, residue, splits
+from . import confusables, duplicates, leakage, overlap, packing, residue, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,14 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.report(p8_found(spark, d), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
 
