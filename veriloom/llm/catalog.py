@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import confusables, duplicates, leakage, overlap, packing, residue, splits
+from . import confusables, duplicates, leakage, overlap, packing, pairs, residue, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.collapsed(table(spark, d, "pool_records"), "record_id", CLAIM, ["premise_reference"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "generation_results"), table(spark, d, "documents"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "pool_records"), table(spark, d, "rag_error_analysis"))
 
