@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..operators import nested
-from ..sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import leakage_queries, quality_queries, shape_queries, text_queries  # noqa: F401  (registers)
+from .registry import REGISTRY, Query, query
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.linked_children(table(spark, d, "attempt_records"), table(spark, d, "pipeline_results"))
+@query("P4")
+def p4_found(t) -> DataFrame:
+    return nested.linked_children(t("attempt_records"), t("pipeline_results"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found}
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in REGISTRY.items() if q.sql}
