@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import nested
-from . import decision_queries, leakage_queries, quality_queries, retrieval_queries, shape_queries, text_queries  # noqa: F401  (registers)
+from . import decision_queries, leakage_queries, loop_queries, metric_queries, quality_queries, retrieval_queries, shape_queries, text_queries  # noqa: F401  (registers)
 from .registry import REGISTRY, Query, query
 
 
