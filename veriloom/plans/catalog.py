@@ -9,7 +9,19 @@ from . import decision_queries, leakage_queries, loop_queries, metric_queries, q
 from .registry import REGISTRY, Query, query
 
 
-@query("P4")
+_KEY = "coalesce(nullif(json_extract_string(c, '$.corpus_id'), ''), coalesce(json_extract_string(c, '$.page_id'), json_extract_string(c, '$.provenance.page_id')) || '::' || coalesce(json_extract_string(c, '$.sentence_id'), json_extract_string(c, '$.provenance.sentence_id')))"
+_EVIDENCE_KEY = "coalesce(nullif(e.corpus_id, ''), e.page_id || '::' || CAST(e.sentence_id AS VARCHAR))"
+CHILDREN = f"""
+SELECT 'attempt_records' AS parent_table, attempt_id AS parent_id, 'evidence' AS child, CAST(i - 1 AS BIGINT) AS pos, {_EVIDENCE_KEY} AS child_key FROM (SELECT attempt_id, evidence[i] AS e, i FROM (SELECT attempt_id, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM attempt_records)) WHERE e IS NOT NULL
+UNION ALL SELECT 'attempt_records', attempt_id, 'selected_evidence', 0, {_EVIDENCE_KEY} FROM (SELECT attempt_id, selected_evidence AS e FROM attempt_records) WHERE e IS NOT NULL
+{" ".join(f"UNION ALL SELECT 'attempt_records', attempt_id, 'latency', 0, '{p}_seconds' FROM attempt_records WHERE latency.{p}_seconds IS NOT NULL" for p in ("generation", "retrieval", "reranking", "verification"))}
+UNION ALL SELECT 'pipeline_results', result_id, 'verified_candidate', CAST(i - 1 AS BIGINT), {_KEY} FROM (
+  SELECT result_id, i, list[i] AS c FROM (SELECT result_id, list, unnest(range(1, len(list) + 1)) AS i FROM (
+    SELECT result_id, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN CASE WHEN json_extract(v, '$.items') IS NULL THEN [v] ELSE json_extract(v, '$.items[*]') END END AS list FROM (
+      SELECT result_id, CASE WHEN json_type(v) = 'VARCHAR' THEN CAST(json_extract_string(v, '$') AS JSON) ELSE v END AS v FROM (SELECT result_id, json_extract(payload, '$.verified_candidates') AS v FROM pipeline_results WHERE json_valid(payload)))))) WHERE json_type(c) <> 'NULL'"""
+
+
+@query("P4", CHILDREN)
 def p4_found(t) -> DataFrame:
     return nested.linked_children(t("attempt_records"), t("pipeline_results"))
 
