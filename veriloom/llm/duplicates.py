@@ -22,12 +22,12 @@ from ..session import written
 #: The written table of shared classes is broadcast up to this many rows (16 MB of numbers), beyond it shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Letters counted one by one in the invariant.
-COUNTED = "aeionrlst"
+COUNTED = "AEIONRLST"
 
 
 def bare(text: Column) -> Column:
-    """Letters and digits only, without case."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits only, without case: in upper case, which also joins such as ß and SS."""
+    return F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
 def canonical_json(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 def _bare(column: str) -> str:
-    return rf"lower(upper(regexp_replace({column}, '[^\p{{L}}\p{{N}}]+', '', 'g')))"
+    return rf"upper(regexp_replace({column}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 
 
 def _item(dataset: str, subset: str, number: str) -> str:
