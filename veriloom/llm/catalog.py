@@ -64,8 +64,8 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")))
 
 
-def p7_unused(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p7_packed(spark, d))
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(p7_packed(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

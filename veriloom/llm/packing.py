@@ -138,6 +138,12 @@ def pack(sizes: DataFrame, capacity: int = 2048, per_group: int = 20_000, well_f
     return full.select(columns).unionAll(keep.select(columns)).unionAll(again.select(columns))
 
 
+def containers(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """container, pieces, tokens, free: one row for each container."""
+    boxes = packed.groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
+    return boxes.withColumn("free", F.lit(capacity) - F.col("tokens"))
+
+
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """containers, tokens and the share of space left over all containers."""
     boxes = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
