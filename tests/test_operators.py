@@ -38,6 +38,22 @@ def test_index_percentiles(spark):
     assert got == {"g": (s[int(5 * 0.5)], s[int(5 * 0.95)]), "h": (5.0, 5.0)}
 
 
+def test_order_statistics_of_large_groups(spark):
+    import random
+
+    rnd = random.Random(2)
+    values = [round(rnd.gauss(0, 1), rnd.choice([1, 6])) for _ in range(4001)]
+    df = spark.createDataFrame([(None if i % 2 else "k", v) for i, v in enumerate(values)], "k string, v double")
+    for key, own in ((None, values[1::2]), ("k", values[0::2])):
+        own = sorted(own)
+        row = next(r for r in shape.index_percentiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect() if r["k"] == key)
+        assert (row["a"], row["b"], row["c"]) == (own[0], own[int(len(own) * 0.37)], own[-1])
+    own = sorted(values)
+    assert shape.order_statistics(df, [], "v", {"x": (0.5, lambda n: F.floor(n / 2))}, accuracy=50).first()["x"] == own[len(own) // 2]
+    assert shape.medians(df.filter("k = 'k'"), [], "v").first()["median"] == sorted(values[0::2])[1000]
+    assert shape.medians(df.limit(0), ["k"], "v").count() == 0
+
+
 def test_lookup_join_with_a_hot_key(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id")
     side = rows.select("k").filter("k IS NOT NULL").distinct().withColumn("v", F.length("k"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +27,41 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def index_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """For each name in ``shares`` the value at place floor(n * share) of the sorted values, counted from 0.
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, tuple[float, Callable[[Column], Column]]], accuracy: int = 10_000) -> DataFrame:
+    """For each name the exact value at a place (counted from 0) of the sorted values of a group.
 
-    Equal values are counted before the sort, so a task holds distinct values only.
+    A place is given as its share of the group and as a function of the group's size. An
+    approximate percentile sketch first brackets it; only the few values inside the
+    bracket are then sorted, so no task sorts a whole group. Nulls are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys)
-    placed = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    picks = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_all") * F.lit(s)), F.col("_all") - 1), F.col(value))).alias(name) for name, s in shares.items()]
-    return placed.groupBy(*keys).agg(*picks)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    margin = 2.0 / accuracy
+    ends = [x for share, _ in places.values() for x in (max(0.0, share - margin), min(1.0, share + margin))]
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_b"))
+    stats = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", "_b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = rows.join(stats, same) if keys else rows.join(F.broadcast(stats))
+    wanted = [F.struct(F.lit(name).alias("name"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi"), place(F.col("_n")).alias("place")) for i, (name, (_, place)) in enumerate(places.items())]
+    near = joined.select(*keys, "_v", F.explode(F.array(*wanted)).alias("w")).filter("_v <= w.hi")
+    # Values below the bracket only count; they share a null.
+    counts = near.groupBy(*keys, F.col("w.name").alias("_name"), F.col("w.place").alias("_place"), F.when(F.col("_v") >= F.col("w.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy(F.asc_nulls_first("_v")))
+    found = counts.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_place"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places])
+
+
+def index_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each name in ``shares`` the value at place floor(n * share) of the sorted values, counted from 0."""
+    at = lambda s: lambda n: F.least(F.floor(n * F.lit(s)), n - 1)
+    return order_statistics(df, keys, value, {name: (s, at(s)) for name, s in shares.items()})
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the mean of the two middle values."""
+    two = order_statistics(df, keys, value, {"_low": (0.5, lambda n: F.floor((n - 1) / 2)), "_high": (0.5, lambda n: F.floor(n / 2))})
+    return two.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
 def dense(df: DataFrame, key: str, values: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ WITH {AGG}, m AS (SELECT attempt_id, max_ent - second_ent AS margin, max_ent FRO
 SELECT CASE WHEN margin >= x THEN 'high' ELSE 'low' END AS half, count(*) AS n, round(avg(max_ent), 6) AS mean_ent FROM m, md GROUP BY 1""")
 def margin_split(t):
     m = aggregates(t).filter("margin IS NOT NULL").select("attempt_id", "margin", "max_ent")
-    md = m.agg(F.median("margin").alias("x"))
+    md = S.medians(m, [], "margin").withColumnRenamed("median", "x")
     return m.join(F.broadcast(md)).groupBy(F.when(F.col("margin") >= F.col("x"), "high").otherwise("low").alias("half")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("max_ent"), 6).alias("mean_ent"))
 
 
@@ -133,9 +133,10 @@ round(min(ent), 6) AS low, round(max(ent), 6) AS high, round(avg(CASE WHEN ent >
 def score_distribution(t):
     e, p = evidence(t), F.col("entailment_probability")
     r = lambda c, name: F.round(c, 6).alias(name)
-    one = e.agg(F.count(F.lit(1)).alias("n"), r(F.avg(p), "mean"), r(F.median(p), "median"), r(F.coalesce(F.stddev_samp(p), F.lit(0.0)), "stdev"), r(F.min(p), "low"), r(F.max(p), "high"), r(F.avg(F.when(p >= 0.5, 1.0).otherwise(0.0)), "share_above"))
-    q = S.index_percentiles(e.withColumn("_all", F.lit(1)), ["_all"], "entailment_probability", {"p10": 0.1, "p90": 0.9}).drop("_all")
-    return one.join(F.broadcast(q)).select("n", "mean", "median", "stdev", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"), "low", "high", "share_above")
+    one = e.agg(F.count(F.lit(1)).alias("n"), r(F.avg(p), "mean"), r(F.coalesce(F.stddev_samp(p), F.lit(0.0)), "stdev"), r(F.min(p), "low"), r(F.max(p), "high"), r(F.avg(F.when(p >= 0.5, 1.0).otherwise(0.0)), "share_above"))
+    q = S.index_percentiles(e, [], "entailment_probability", {"p10": 0.1, "p90": 0.9})
+    md = S.medians(e, [], "entailment_probability")
+    return one.join(F.broadcast(q)).join(F.broadcast(md)).select("n", "mean", F.round("median", 6).alias("median"), "stdev", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"), "low", "high", "share_above")
 
 
 POINTS = """points AS (SELECT attempt0_confidence AS conf, CASE WHEN (attempt0_mapped_decision = 'ACCEPT') = (NOT gold_has_hallucination) THEN 1 ELSE 0 END AS ok FROM rag_error_analysis WHERE attempt0_confidence IS NOT NULL AND attempt0_mapped_decision IS NOT NULL AND gold_has_hallucination IS NOT NULL)"""

@@ -76,9 +76,10 @@ WITH d AS (SELECT {_OUTCOME} AS outcome, attempt0_confidence AS c FROM rag_error
 SELECT g.outcome, count(d.c) AS n, round(avg(d.c), 6) AS mean, round(median(d.c), 6) AS median FROM (VALUES {", ".join(f"('{x}')" for x in _OUTCOMES)}) g(outcome) LEFT JOIN d ON g.outcome = d.outcome GROUP BY g.outcome""")
 def confidence_by_outcome(t):
     rows = known(t).select(F.expr(_OUTCOME).alias("outcome"), F.col("attempt0_confidence").alias("c")).filter("outcome IS NOT NULL")
-    per = rows.groupBy("outcome").agg(F.count("c").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.median("c"), 6).alias("median"))
+    per = rows.groupBy("outcome").agg(F.count("c").alias("n"), F.round(F.avg("c"), 6).alias("mean"))
+    md = S.medians(rows, ["outcome"], "c")
     grid = rows.sparkSession.createDataFrame([(x,) for x in _OUTCOMES], "outcome string")
-    return S.dense(per, "outcome", grid).select("outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "median")
+    return S.dense(per, "outcome", grid).join(md, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", F.round("median", 6).alias("median"))
 
 
 @query("AG25", f"""
@@ -109,9 +110,11 @@ SELECT model_identifier, count(*) AS n, round(avg(x), 6) AS mean, round(median(x
 def latency_stats(t):
     g = t("generation_results").filter("latency_seconds IS NOT NULL").select("model_identifier", F.col("latency_seconds").alias("x"))
     r = lambda c, name, d=6: F.round(c, d).alias(name)
-    one = g.groupBy("model_identifier").agg(F.count(F.lit(1)).alias("n"), r(F.avg("x"), "mean"), r(F.median("x"), "median"), r(F.min("x"), "low"), r(F.max("x"), "high"), r(F.sum("x"), "total", 4)).withColumn("_m", F.col("model_identifier"))
+    one = g.groupBy("model_identifier").agg(F.count(F.lit(1)).alias("n"), r(F.avg("x"), "mean"), r(F.min("x"), "low"), r(F.max("x"), "high"), r(F.sum("x"), "total", 4)).withColumn("_m", F.col("model_identifier"))
     q = S.index_percentiles(g, ["model_identifier"], "x", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("model_identifier", "_k")
-    return one.join(q, F.col("_m").eqNullSafe(F.col("_k"))).select("model_identifier", "n", "mean", "median", r("p50", "p50"), r("p95", "p95"), "low", "high", "total")
+    md = S.medians(g, ["model_identifier"], "x").withColumnRenamed("model_identifier", "_l")
+    both = one.join(q, F.col("_m").eqNullSafe(F.col("_k"))).join(md, F.col("_m").eqNullSafe(F.col("_l")))
+    return both.select("model_identifier", "n", "mean", r("median", "median"), r("p50", "p50"), r("p95", "p95"), "low", "high", "total")
 
 
 _CATEGORY = f"""CASE WHEN final_decision <> 'ACCEPT' AND gold_has_hallucination THEN 'still_flagged' WHEN final_decision <> 'ACCEPT' THEN 'degraded' WHEN gold_has_hallucination AND ({_CORRECTED}) THEN 'fixed' WHEN gold_has_hallucination THEN 'missed' ELSE 'preserved' END"""
