@@ -23,6 +23,8 @@ from ..operators.skew import lookup_join
 from ..session import written
 
 SEP = "\u001f"
+#: Edges from which on hubs are looked for before a join.
+BIG = 1_000_000
 #: Outer blanks that do not count, Python's as well as the Unicode separators.
 BLANK = r"[\s\u001c-\u001f\u0085\p{Z}]"
 
@@ -75,7 +77,8 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame |
                 break
         of = lambda name: parent.select(F.col("c").alias(name), F.col("p").alias(f"{name}_root"))
         labels = written(labels.join(of("root"), "root", "left").select("vertex", F.coalesce("root_root", "root").alias("root")), "labels")
-        pairs = live.join(of("cu"), "cu").join(of("cv"), "cv").filter("cu_root <> cv_root")
+        join = lookup_join if live.count() > BIG else (lambda left, right, key: left.join(right, key))  # a hub may hold many edges
+        pairs = join(join(live, of("cu"), "cu"), of("cv"), "cv").filter("cu_root <> cv_root")
         pairs = pairs.select("w", "u", "v", F.least("cu_root", "cv_root").alias("cu"), F.greatest("cu_root", "cv_root").alias("cv"))
         live = written(pairs.groupBy("cu", "cv").agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.w", "m.u", "m.v", "cu", "cv"), "edges")
     raise RuntimeError(f"the graph did not contract in {max_rounds} rounds on {spark.sparkContext.applicationId}")
