@@ -69,3 +69,14 @@ def correction_prompt(question: Column, answer: Column, evidence: Column) -> Col
     """Asks for a corrected answer from the evidence alone; the evidence texts become a list."""
     listed = F.array_join(F.transform(F.filter(evidence, lambda x: x.isNotNull()), lambda x: F.concat(F.lit("* "), x)), "\n")
     return F.concat(F.lit("Question:\n"), question, F.lit("\n\nEarlier answer:\n"), answer, F.lit("\n\nPassages:\n"), F.when(listed == "", "none were found").otherwise(listed), F.lit("\n\nRewrite the answer so that the passages support all of it. Give the answer only."))
+
+
+def reason(policy: Policy, decision: Column, ent: Column, con: Column, num: Column) -> Column:
+    """Why the policy decided so, with the probability that cleared its threshold."""
+    above = lambda what, p, t: F.concat(F.lit(f"{what} "), F.format_string("%.4f", p), F.lit(f" reaches {t}"))
+    return (
+        F.when(F.coalesce(num, F.lit(0)) == 0, "no candidates")
+        .when(decision == "SUPPORTED", above("entailment", ent, policy.entailment_threshold))
+        .when(decision == "CONTRADICTED", above("contradiction", con, policy.contradiction_threshold))
+        .otherwise("no candidate is sure enough")
+    )

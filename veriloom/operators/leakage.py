@@ -61,3 +61,15 @@ def group_split(df: DataFrame, group: Column, share: float, seed: int = 42) -> D
     limit = keys.filter(F.substring("_h", 1, 3) == head).select("_h").orderBy("_h").limit(want - before).agg(F.max("_h").alias("_limit"))
     picked = rows.withColumn("_h", md5_order(F.lit(str(seed)), F.col("_g"))).join(F.broadcast(limit))
     return picked.withColumn("part", F.when(F.col("_h") <= F.col("_limit"), "dev").otherwise("train")).drop("_g", "_h", "_limit")
+
+
+class UnsafeRecords(ValueError):
+    """Records that must not be trained on are among those chosen."""
+
+
+def require_safe(df: DataFrame, rules: dict[str, Column]) -> None:
+    """Raises if any row breaks a rule; all rules are counted in one pass, before the rows are used."""
+    counts = df.agg(*[F.count_if(broken).alias(name) for name, broken in rules.items()]).first().asDict()
+    broken = {name: n for name, n in counts.items() if n}
+    if broken:
+        raise UnsafeRecords(", ".join(f"{name}: {n}" for name, n in broken.items()))

@@ -92,3 +92,46 @@ def embed_with_failures(df: DataFrame, key: str, text: str, make: Callable[[], E
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>, error string")
+
+
+Generator = Callable[[str], str]
+GENERATION = "generated_text string, prompt_tokens int, generated_tokens int, latency_seconds double, error string"
+
+
+def chat_prompt(question: str, instruction: str | None = None, turn: str = "{role}: {text}\n") -> str:
+    """One text of an optional instruction and a question, in the given form of a turn."""
+    turns = [("system", instruction), ("user", question)]
+    return "".join(turn.format(role=r, text=t) for r, t in turns if t) + turn.format(role="assistant", text="").rstrip()
+
+
+def generate(df: DataFrame, key: str, prompt: str, make: Callable[[], Generator]) -> DataFrame:
+    """(key, generated_text, counts, latency, error): one text for each prompt; a failure becomes a row, never a lost one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        model = make()
+        for pdf in batches:
+            rows = []
+            for k, p in zip(pdf[key], pdf[prompt]):
+                began, text, error = time.perf_counter(), None, None
+                try:
+                    text = model(p)
+                except Exception as e:
+                    error = type(e).__name__
+                rows.append((k, text, len((p or "").split()), len((text or "").split()), time.perf_counter() - began, error))
+            yield pd.DataFrame(rows, columns=[key, "generated_text", "prompt_tokens", "generated_tokens", "latency_seconds", "error"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, prompt).mapInPandas(run, f"{key} {kind}, {GENERATION}")
+
+
+def choice_likelihood(question: Column, choice: Column, token_scores: Callable[[str, str], list[float]]) -> Column:
+    """struct(total, per_token) of the log-likelihood of a choice after a question."""
+
+    @F.pandas_udf("total double, per_token double")
+    def score(questions: pd.Series, choices: pd.Series) -> pd.DataFrame:
+        found = [token_scores(q, c) for q, c in zip(questions, choices)]
+        return pd.DataFrame({"total": [float(sum(x)) for x in found], "per_token": [float(sum(x)) / len(x) if x else None for x in found]})
+
+    return score(question, choice)
