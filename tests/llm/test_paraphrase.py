@@ -1,0 +1,45 @@
+import random
+
+from veriloom.llm import leakage, paraphrase
+from veriloom.llm.overlap import common_length
+
+
+def test_recall_against_brute_force(spark):
+    rnd = random.Random(11)
+    names = [f"n{i}" for i in range(400)]
+    common = ["the", "of", "in", "and", "was", "by", "a", "to"]
+    text = lambda n: [rnd.choice(names) if rnd.random() < 0.6 else rnd.choice(common) for _ in range(n)]
+    items = [(i, text(40)) for i in range(30)]
+    docs = []
+    for d in range(200):
+        body = text(rnd.randint(20, 120))
+        if d % 2:
+            source = rnd.choice(items)[1]
+            at = rnd.randint(0, 10)
+            passage = [w if rnd.random() > 0.1 else rnd.choice(names) for w in source[at : at + 30]]
+            k = rnd.randint(0, len(body))
+            body = body[:k] + passage + body[k:]
+        docs.append((d, body))
+    want = set()
+    for d, body in docs:
+        for i, words in items:
+            for s in range(0, len(words) - 23, 4):
+                window = words[s : s + 24]
+                if any(common_length(window, body[max(0, a - 4) : a + 28]) >= 0.8 * 24 for a in range(0, len(body), 4)):
+                    want.add((d, i))
+                    break
+    df = spark.createDataFrame([(d, " ".join(b), 0) for d, b in docs], "doc_id long, text string, item_id int")
+    ev = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in paraphrase.paraphrased(df, ev).collect()}
+    assert len(want) > 50 and len(got & want) >= 0.9 * len(want)
+    for d, i in got:
+        body, words = dict(docs)[d], dict(items)[i]
+        assert any(common_length(words[s : s + 24], body) >= 0.8 * 24 for s in range(len(words) - 23))
+
+
+def test_of_all_kinds(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 100_000)], "doc_id long, text string")
+    ev = spark.createDataFrame([(1, None), (2, "short"), (None, "y"), (4, " ".join(f"q{i}" for i in range(15)))], "item_id long, text string")
+    assert paraphrase.paraphrased(df, ev).count() == 0
+    assert paraphrase.paraphrased(df.limit(0), ev).count() == 0 and paraphrase.paraphrased(df, ev.limit(0)).count() == 0
+    assert leakage.words_of("A-b  c_d") == ["a", "b", "c", "d"]

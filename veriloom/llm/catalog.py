@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import confusables, duplicates, leakage, overlap, packing, pairs, residue, splits
+from . import confusables, duplicates, leakage, overlap, packing, pairs, paraphrase, residue, splits
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(p8_found(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return paraphrase.paraphrased(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
 

@@ -1,0 +1,116 @@
+"""Passages of evaluation texts that documents hold with some words changed.
+
+The same latent space as for exact runs finds them: windows of documents, of which
+enough words are evaluation words, are projected and held against the items' windows
+by cosine, one matrix product for each block; the longest common subsequence of words,
+against the document's window with some words around it, decides.
+
+Retrieval in a latent space is approximate: a passage whose changed words carry most
+of its weight can be missed. The tests measure recall against brute force.
+
+Defined results: as in ``leakage``; items with fewer words than a window are held as
+one window of all their words, if these are at least half a window.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import written
+from .leakage import BLOCK, Items, _sum_rows, latent_space, words_of
+from .overlap import common_length
+
+#: Words of a window, and how far apart windows begin.
+WINDOW, STEP = 24, 4
+
+
+def _windows(documents: DataFrame, vocabulary, size: int, share: float) -> DataFrame:
+    """(doc_id, terms, around) of the windows with enough evaluation words; unknown words are -1. With null doc_id, document frequencies."""
+    least = ceil(share * WINDOW - 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = vocabulary.value.get
+        frequency = np.zeros(size, np.float64)
+        for batch in batches:
+            ids, terms, around = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if not text:
+                    continue
+                found = np.array([get(w, -1) for w in words_of(text)], np.int32)
+                frequency[np.unique(found[found >= 0])] += 1
+                known = np.concatenate(([0], np.cumsum(found >= 0)))
+                begin = np.arange(0, max(1, len(found) - WINDOW + STEP), STEP)
+                end = np.minimum(begin + WINDOW, len(found))
+                for a, b in zip(begin[known[end] - known[begin] >= least].tolist(), end[known[end] - known[begin] >= least].tolist()):
+                    ids.append(i)
+                    terms.append(found[a:b][found[a:b] >= 0].tobytes())
+                    around.append(found[max(0, a - STEP) : b + STEP].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.binary()), pa.array(around, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "terms", "around", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary())], names=["doc_id", "terms", "around", "sums"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms binary, around binary, sums binary")
+
+
+def _unit(rows: list[np.ndarray], weighted: np.ndarray) -> np.ndarray:
+    z = np.stack([weighted[r].sum(axis=0) for r in rows]) if rows else np.zeros((0, weighted.shape[1]))
+    return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+
+
+def item_windows(terms: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    rows, of = [], []
+    for k, t in enumerate(terms):
+        starts = range(0, len(t) - WINDOW + 1, STEP) if len(t) >= WINDOW else [0]
+        for s in {*starts, max(0, len(t) - WINDOW)}:
+            rows.append(t[s : s + WINDOW])
+            of.append(k)
+    return rows, of
+
+
+def paraphrased(documents: DataFrame, eval_items: DataFrame, share: float = 0.8, cosine: float = 0.6) -> DataFrame:
+    """doc_id, item_id, agreement of each document with a passage in which ``share`` of the words of an item's window stand in the same order."""
+    spark = documents.sparkSession
+    chosen = eval_items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
+    blocks = max(1, -(-chosen.count() // BLOCK))
+    out = spark.createDataFrame([], "doc_id long, item_id long, agreement double")
+    total = documents.count()
+    for number in range(blocks):
+        rows = chosen.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).orderBy("item_id").collect()
+        items = Items([(r["item_id"], r["text"]) for r in rows], WINDOW // 2)
+        if not items.ids:
+            continue
+        size = len(items.vocabulary)
+        found = written(_windows(documents, spark.sparkContext.broadcast(items.vocabulary), size, share), "windows")
+        frequency = _sum_rows(found.filter("sums IS NOT NULL").select("sums"), 8)
+        windows = found.filter("terms IS NOT NULL").select("terms", "around", "doc_id")
+        weight = np.log((1.0 + total) / (1.0 + (np.zeros(size) if frequency is None else frequency))) + 1.0
+        space = latent_space(windows, items, weight)
+        shared = spark.sparkContext.broadcast((items.ids, items.terms, weight[:, None] * space))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, terms, weighted = shared.value
+            rows, of = item_windows(terms)
+            z = _unit(rows, weighted)
+            lists = [r.tolist() for r in rows]
+            for batch in batches:
+                docs, best = batch.column(2).to_pylist(), {}
+                own = [np.frombuffer(t.as_buffer(), np.int32) for t in batch.column(0)]
+                for begin in range(0, len(own), 512):
+                    near = _unit(own[begin : begin + 512], weighted) @ z.T >= cosine
+                    for a, b in zip(*(x.tolist() for x in np.nonzero(near))):
+                        context = np.frombuffer(batch.column(1)[begin + a].as_buffer(), np.int32).tolist()
+                        agreement = common_length(lists[b], context) / len(lists[b])
+                        key = docs[begin + a], ids[of[b]]
+                        if agreement >= share - 1e-9 and agreement > best.get(key, 0.0):
+                            best[key] = agreement
+                keys = sorted(best)
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keys], pa.int64()), pa.array([i for _, i in keys], pa.int64()), pa.array([best[k] for k in keys], pa.float64())], names=["doc_id", "item_id", "agreement"])
+
+        out = out.unionAll(windows.mapInArrow(run, "doc_id long, item_id long, agreement double"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("agreement").alias("agreement"))
