@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import leakage as L
-from ..operators import quality as Q
 from ..operators import shape as S
 from .registry import query
 from .shape_queries import label_sql
