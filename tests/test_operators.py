@@ -72,6 +72,13 @@ def test_issues_and_profile(spark):
     assert sorted(one(quality.fan_out(df.withColumn("k", F.lit(1)), "k"))) == [(3, 1)]
 
 
+def test_sequence_profile(spark):
+    rows = [(1, "a", 0, "x"), (2, "a", 1, " "), (3, "a", 1, "late"), (4, "a", 4, None), (5, "b", 2, "x"), (6, None, 0, "x"), (7, None, 1, "y")]
+    df = spark.createDataFrame(rows, "r long, p string, i long, t string")
+    got = {r["p"]: tuple(r)[1:] for r in quality.sequence_profile(df, "p", "i", "r", "t").collect()}
+    assert got == {"a": (3, 0, 4, 1, 2), "b": (1, 2, 2, 1, 0), None: (2, 0, 1, 0, 0)}
+
+
 def test_evidence_resolution(spark):
     refs = '[[{"wiki_url":"P","sentence_id":1},{"wiki_url":"P","sentence_id":9}],[{"sentence_id":2,"wiki_url":"P"},{"wiki_url":"P","sentence_id":1}],[]]'
     df = spark.createDataFrame([(1, refs), (2, "[]"), (3, None), (4, "broken"), (5, '[[{"wiki_url":"Q","sentence_id":1}]]'), (6, '[[{"wiki_url":null,"sentence_id":-1}]]'), (7, '[[{"wiki_url":"P","sentence_id":3}]]')], "id long, r string")

@@ -51,3 +51,16 @@ def key_overlap(left: DataFrame, columns: list[str], right: DataFrame, key: str)
     values = left.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("e")).select("e.*").filter("v IS NOT NULL").distinct()
     out = values.join(keys, "v", "left").groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"), F.count("hit").alias("n_found"))
     return out.withColumn("share", F.round(F.col("n_found") / F.col("n_distinct"), 6))
+
+
+def sequence_profile(df: DataFrame, group: str, number: str, order: str, text: str) -> DataFrame:
+    """Per group: sentences, first and last number, jumps in the numbering (which should begin at 0) and blank texts; of equal numbers the first row counts.
+
+    A number jumps if its predecessor is missing. That is looked up by group and number
+    together, so a group that holds many rows is spread over all tasks.
+    """
+    first = df.groupBy(F.col(group).alias("g"), F.col(number).alias("i")).agg(F.min_by(F.struct(text), F.col(order)).alias("r"))
+    before = first.select(F.col("g").alias("_g"), (F.col("i") + 1).alias("_i"))
+    rows = first.join(before, F.col("g").eqNullSafe(F.col("_g")) & (F.col("i") == F.col("_i")), "left")
+    per = rows.groupBy(F.col("g").alias(group)).agg(F.count(F.lit(1)).alias("n_sentences"), F.min("i").alias("first_sid"), F.max("i").alias("last_sid"), F.count_if(F.col("_i").isNull()).alias("_gaps"), F.count_if(is_blank(F.col(f"r.{text}"))).alias("n_blank"))
+    return per.select(group, "n_sentences", "first_sid", "last_sid", (F.col("_gaps") - F.when(F.col("first_sid") == 0, 1).otherwise(0)).alias("n_jumps"), "n_blank")

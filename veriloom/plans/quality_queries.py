@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -106,7 +105,4 @@ WITH s AS (SELECT page_id, sentence_id, any_value({norm_sql('text')} = '') AS bl
 l AS (SELECT *, lag(sentence_id, 1, -1) OVER (PARTITION BY page_id ORDER BY sentence_id) + 1 <> sentence_id AS jump FROM s)
 SELECT page_id, count(*) AS n_sentences, min(sentence_id) AS first_sid, max(sentence_id) AS last_sid, count(CASE WHEN jump THEN 1 END) AS n_jumps, count(CASE WHEN blank THEN 1 END) AS n_blank FROM l GROUP BY page_id""")
 def wiki_line_profile(t):
-    first = t("sentences").groupBy("page_id", "sentence_id").agg(F.min_by(F.struct("text"), F.col("row_id")).alias("r"))
-    w = Window.partitionBy("page_id").orderBy("sentence_id")
-    rows = first.withColumn("jump", F.lag("sentence_id", 1, -1).over(w) + 1 != F.col("sentence_id")).withColumn("blank", T.normalize_text(F.col("r.text")) == "")
-    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.min("sentence_id").alias("first_sid"), F.max("sentence_id").alias("last_sid"), F.count_if("jump").alias("n_jumps"), F.count_if("blank").alias("n_blank"))
+    return Q.sequence_profile(t("sentences"), "page_id", "sentence_id", "row_id", "text")
