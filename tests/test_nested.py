@@ -109,6 +109,13 @@ def test_child_table_renames_clashes(spark):
     assert nested.child_table(df, "id", "items").columns == ["id", "pos", "child_id", "x"]
 
 
+def test_fields_of_children(spark):
+    payload = json.dumps({"c": [{"id": 1, "in": {"x": "deep", "y": {"z": 0.5}}}, {"x": None, "in": {"x": "inner"}}, {"x": "outer", "in": {"x": "inner"}}, None, "text"]})
+    df = spark.createDataFrame([(1, payload), (2, None), (3, "x")], "pos long, p string")
+    got = [tuple(r) for r in nested.explode_json_fields(df, "pos", "p", "c", ["x", "z", "id"]).collect()]
+    assert got == [(1, 0, "deep", "0.5", "1"), (1, 1, "inner", None, None), (1, 2, "outer", None, None), (1, 4, None, None, None)]
+
+
 def test_blocks_cover_everything(spark):
     rows = [(i, json.dumps({"verified_candidates": [{"corpus_id": f"{i}-{j}", "text": "y" * random.randint(0, 4000)} for j in range(3)]})) for i in range(600)]
     df = spark.createDataFrame(rows, "result_id long, payload string")

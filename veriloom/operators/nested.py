@@ -153,6 +153,22 @@ def _identity(ix: StructuralIndex, pos: int) -> str | None:
     return f"{page}::{sentence}" if page is not None and sentence is not None else None
 
 
+def _fields(ix: StructuralIndex, pos: int, names: dict[bytes, int]) -> list[str | None]:
+    """The scalars of these names within the object at ``pos``, however deep; of those that are not null the outermost counts."""
+    out: list[str | None] = [None] * len(names)
+    if ix.buf[pos] != 123:
+        return out
+    at = [1 << 30] * len(names)
+    a, b = ix.members(pos)
+    for i in range(a, b):
+        k = names.get(ix.buf[ix.key_from[i] : ix.key_to[i]].tobytes())
+        if k is not None and ix.key_depth[i] <= at[k]:
+            value = ix.value(ix.first_solid(int(ix.colons[i]) + 1))
+            if value is not None:
+                out[k], at[k] = value, int(ix.key_depth[i])
+    return out
+
+
 def _children(ix: StructuralIndex, pos: int) -> list[int]:
     """Where the candidates of the value at ``pos`` begin: an array's elements, an object itself or those it holds."""
     if ix.buf[pos] == 91:
@@ -170,8 +186,8 @@ def _children(ix: StructuralIndex, pos: int) -> list[int]:
     return [v for v in at if ix.buf[v] == 123]
 
 
-def json_children(texts: list[bytes], field: bytes) -> list[tuple[int, int, str | None]]:
-    """(number of the text, place, key) of each non-null child that ``field`` holds in these valid JSON texts.
+def json_children(texts: list[bytes], field: bytes, read=_identity) -> list[tuple]:
+    """(number of the text, place, key) of each non-null child that ``field`` holds in these valid JSON texts; ``read`` makes the key.
 
     The outermost ``field`` of a text counts, of several the last. A string value is
     read as JSON text again.
@@ -195,8 +211,8 @@ def json_children(texts: list[bytes], field: bytes) -> list[tuple[int, int, str
             continue
         for p, c in enumerate(_children(ix, v)):
             if ix.buf[c] == 123 or ix.value(c) is not None or ix.buf[c] == 91:
-                out.append((d, p, _identity(ix, c)))
-    out += [(again[d][0], p, key) for d, p, key in json_children([t for _, t in again], field)]
+                out.append((d, p, read(ix, c)))
+    out += [(again[d][0], p, key) for d, p, key in json_children([t for _, t in again], field, read)]
     return out
 
 
@@ -233,6 +249,22 @@ def explode_json(df: DataFrame, parent_id: str, payload: str, field: str) -> Dat
     return narrow.mapInArrow(run, "parent_id long, pos long, child_key string")
 
 
+def explode_json_fields(df: DataFrame, parent_id: str, payload: str, field: str, names: list[str]) -> DataFrame:
+    """The flat child table of ``field`` in a JSON text column: parent_id, pos and the named scalars as text."""
+    wanted = {n.encode(): k for k, n in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raw = batch.column(0), batch.column(1).cast(pa.binary())
+            for good in _blocks(raw):
+                rows = json_children([raw[i].as_py() for i in good], field.encode(), lambda ix, c: _fields(ix, c, wanted))
+                columns = [pa.array([v[k] for _, _, v in rows], pa.string()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([good[d] for d, _, _ in rows], pa.int64())), pa.array([p for _, p, _ in rows], pa.int64()), *columns], names=["parent_id", "pos", *names])
+
+    narrow = df.select(F.col(parent_id).cast("long").alias("parent_id"), F.col(payload).alias("payload"))
+    return narrow.mapInArrow(run, "parent_id long, pos long, " + ", ".join(f"`{n}` string" for n in names))
+
+
 def explode_array(df: DataFrame, parent_id: str, array: str, key) -> DataFrame:
     """One row for each non-null element of an array column: parent_id, pos, child_key; ``key`` makes the last from the element."""
     rows = df.select(F.col(parent_id).cast("long").alias("parent_id"), F.posexplode(F.col(array)).alias("pos", "child"))

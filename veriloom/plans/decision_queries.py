@@ -39,9 +39,9 @@ def select_evidence(t):
     return D.select_evidence(evidence(t), ["attempt_id"], "entailment_probability", "pos", F.col("pos"))
 
 
-@query("WN5", f"WITH {AGG} SELECT attempt_id, round(max_ent, 6) AS max_ent, round(second_ent, 6) AS second_ent, round(max_ent - second_ent, 6) AS margin, round(max_con, 6) AS max_con, num AS num_candidates FROM agg")
+@query("WN5", f"WITH {AGG} SELECT attempt_id, round(max_ent, 9) AS max_ent, round(second_ent, 9) AS second_ent, round(max_ent - second_ent, 9) AS margin, round(max_con, 9) AS max_con, num AS num_candidates FROM agg")
 def query_aggregates(t):
-    r = lambda c: F.round(c, 6).alias(c)
+    r = lambda c: F.round(c, 9).alias(c)
     return aggregates(t).select("attempt_id", r("max_ent"), r("second_ent"), r("margin"), r("max_con"), "num_candidates")
 
 
