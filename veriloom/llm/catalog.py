@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import confusables, duplicates, leakage, overlap, packing, pairs, residue, splits
@@ -28,6 +29,13 @@ def _text_values(spark: SparkSession, d: str) -> DataFrame:
     return own.unionAll(confusables.values(table(spark, d, "pool_records"), "pool_records", "record_id", ["hypothesis", "premise_text"]))
 
 
+def p1_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest that ties the items: its edges."""
+    rows = splits.members(table(spark, d, "pool_records"), table(spark, d, "verifier_examples"))
+    forest, _ = splits.spanning_forest(rows.filter("b IS NOT NULL").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return forest if forest is not None else spark.createDataFrame([], "u string, v string")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.deviating(_text_values(spark, d))
 
@@ -84,6 +92,12 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without residue."""
+    documents = table(spark, d, "documents")
+    return documents.select("doc_id").join(residue.residue(documents).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
 
