@@ -193,3 +193,21 @@ def test_loop_ends(spark):
     run = lambda n: {r["q"]: (r["final_decision"], r["termination_reason"], r["correction_occurred"], r["n_regenerations"]) for r in loop.run_loop(df, verify, better, decide.Policy(0.7, 0.6), n).collect()}
     assert run(0) == {1: ("ACCEPT", "accepted", False, 0), 2: ("ABSTAIN", "max_attempts_reached", True, 0), 3: ("ABSTAIN", "policy_abstained", False, 0)}
     assert run(2)[2] == ("ABSTAIN", "policy_abstained", True, 1)
+
+
+def test_span_issues(spark):
+    import json
+
+    ok = {"start": 6, "end": 11, "text": "wörld"}
+    spans = [ok, {"start": 0, "end": 3, "text": "xyz"}, {"start": -1, "end": 2, "text": "h"}, {"start": 0, "end": 12, "text": "h"}, {"start": 3, "end": 2}, {"start": "0", "end": 2}, {"start": 1.0, "end": 2}, {"end": 2}, "span", None, 7, {"start": 0, "end": 5}, {"start": 0, "end": 5, "text": 5}, {"start": 0, "end": 10**20}, {"start": False, "end": True, "text": "h"}]
+    rows = [(1, "hello wörld", json.dumps(spans), "QA"), (2, None, json.dumps([ok]), "QA"), (3, "", None, "QA"), (4, "x", "{}", "QA"), (5, "x", "[", None), (6, "x", "[]", "Poem")]
+    df = spark.createDataFrame(rows, "k long, body string, spans string, task string")
+    got = {}
+    for r in quality.span_issues(df, ["k"], "body", "spans", {"unknown_task_type": ~F.col("task").isin("QA", "Summary")}).collect():
+        got.setdefault(r["k"], []).append((r["span_no"], r["issue"]))
+    assert got.pop(1) == [(1, "offset_text_mismatch"), *[(i, "offset_out_of_bounds") for i in (2, 3, 4)], *[(i, "offset_not_int") for i in (5, 6, 7)], *[(i, "label_not_a_dict") for i in (8, 9, 10)], (12, "offset_text_mismatch"), (13, "offset_out_of_bounds")]
+    assert got == {2: [(None, "empty_text"), (None, "text_not_a_string")], 3: [(None, "empty_text")], 4: [(None, "labels_not_a_list")], 5: [(None, "labels_not_a_list")], 6: [(None, "unknown_task_type")]}
+    typed = spark.createDataFrame([(1, "ab cd", [(0, 2, "ab"), (3, 5, "ce"), (3, 6, "cd"), None])], "k long, body string, spans array<struct<start:int,end:int,text:string>>")
+    assert one(quality.span_issues(typed, ["k"], "body", "spans")) == [(1, 1, "offset_text_mismatch"), (1, 2, "offset_out_of_bounds"), (1, 3, "label_not_a_dict")]
+    words = spark.createDataFrame([(" é  b c d e ",), (None,)], "t string").select(T.word_spans(F.col("t"))).collect()
+    assert [tuple(x) for x in words[0][0]][-1] == (10, 11, "e") and len(words[0][0]) == 5 and words[1][0] is None

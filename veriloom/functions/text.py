@@ -46,3 +46,15 @@ def unicode_form(c: Column, form: str = "NFC") -> Column:
         return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
 
     return normal(c)
+
+
+def word_spans(c: Column) -> Column:
+    """start, end and text of every run without spaces; no expression of Spark tells where a match begins."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    def spans(texts):
+        import re
+
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "text": m.group()} for m in re.finditer("[^ ]+", t)], na_action="ignore")
+
+    return spans(c)

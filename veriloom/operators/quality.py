@@ -64,3 +64,59 @@ def sequence_profile(df: DataFrame, group: str, number: str, order: str, text: s
     rows = first.join(before, F.col("g").eqNullSafe(F.col("_g")) & (F.col("i") == F.col("_i")), "left")
     per = rows.groupBy(F.col("g").alias(group)).agg(F.count(F.lit(1)).alias("n_sentences"), F.min("i").alias("first_sid"), F.max("i").alias("last_sid"), F.count_if(F.col("_i").isNull()).alias("_gaps"), F.count_if(is_blank(F.col(f"r.{text}"))).alias("n_blank"))
     return per.select(group, "n_sentences", "first_sid", "last_sid", (F.col("_gaps") - F.when(F.col("first_sid") == 0, 1).otherwise(0)).alias("n_jumps"), "n_blank")
+
+
+def span_statuses(text: Column, spans: Column) -> Column:
+    """The outcome of each span (start, end, text) of an array against its text, in order.
+
+    match, offset_text_mismatch, offset_out_of_bounds, offset_not_int, label_not_a_dict, or no_label_text, which is
+    no issue. Offsets count characters.
+    """
+
+    def status(e: Column) -> Column:
+        start, end, label = e["start"], e["end"], e["text"]
+        cut = F.substring(text, start.cast("int") + 1, (end - start).cast("int"))
+        return (
+            F.when(e.isNull(), "label_not_a_dict")
+            .when(start.isNull() | end.isNull(), "offset_not_int")
+            .when((start < 0) | (end > F.length(text)) | (start > end), "offset_out_of_bounds")
+            .when(label.isNull(), "no_label_text")
+            .when(cut == label, "match")
+            .otherwise("offset_text_mismatch")
+        )
+
+    return F.transform(spans, status)
+
+
+def json_spans(spans: Column) -> Column:
+    """JSON text as an array of spans, or null if it is no array: an element that is no object is null, as is an offset of another type than an integer.
+
+    true and false pass as 1 and 0; integers beyond 64 bits are kept as decimals, as 1.0 is, so only long ones of
+    those count as whole. A text of another type matches nothing.
+    """
+    field = lambda e, name, kind="variant": F.try_variant_get(e, f"$.{name}", kind)
+
+    def offset(e: Column, name: str) -> Column:
+        return F.when(F.schema_of_variant(field(e, name)).rlike(r"^(BIGINT|BOOLEAN|DECIMAL\((19|[23]\d),0\))$"), field(e, name, "decimal(38,0)"))
+
+    def label(e: Column) -> Column:
+        kind = F.schema_of_variant(field(e, "text"))
+        return F.when(kind == "STRING", field(e, "text", "string")).when(kind != "VOID", "\0")
+
+    struct = lambda e: F.struct(offset(e, "start").alias("start"), offset(e, "end").alias("end"), label(e).alias("text"))
+    return F.transform(F.try_variant_get(F.try_parse_json(spans), "$", "array<variant>"), lambda e: F.when(F.schema_of_variant(e).startswith("OBJECT"), struct(e)))
+
+
+def span_issues(df: DataFrame, keys: list[str], text: str, spans: str, rules: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, span_no, issue): each broken rule and text without number, each faulty span with its place.
+
+    spans: JSON text or an array of structs. A null holds no spans; without a text no span is looked at.
+    """
+    body = F.col(text)
+    array = json_spans(F.col(spans)) if df.schema[spans].dataType.simpleString() == "string" else F.col(spans)
+    rules = {"empty_text": F.coalesce(body == "", F.lit(True)), "text_not_a_string": body.isNull(), "labels_not_a_list": F.col(spans).isNotNull() & array.isNull()} | (rules or {})
+    none = F.lit(None).cast("int")
+    own = F.array_compact(F.array(*[F.when(broken, F.struct(none.alias("span_no"), F.lit(code).alias("issue"))) for code, broken in rules.items()]))
+    each = F.transform(F.when(body.isNotNull(), span_statuses(body, array)), lambda s, i: F.struct(i.alias("span_no"), s.alias("issue")))
+    faulty = F.filter(each, lambda e: ~e["issue"].isin("match", "no_label_text"))
+    return df.select(*keys, F.inline(F.concat(own, F.coalesce(faulty, F.array().cast("array<struct<span_no:int,issue:string>>")))))
