@@ -211,3 +211,14 @@ def test_span_issues(spark):
     assert one(quality.span_issues(typed, ["k"], "body", "spans")) == [(1, 1, "offset_text_mismatch"), (1, 2, "offset_out_of_bounds"), (1, 3, "label_not_a_dict")]
     words = spark.createDataFrame([(" é  b c d e ",), (None,)], "t string").select(T.word_spans(F.col("t"))).collect()
     assert [tuple(x) for x in words[0][0]][-1] == (10, 11, "e") and len(words[0][0]) == 5 and words[1][0] is None
+
+
+def test_wiki_lines(spark):
+    from veriloom.plans import text_queries
+
+    texts = [(1, "wiki_page", "0\tFirst .\tlink\tlink\n\n 12 \tSecond\n3\nx\tThird\n1.0\tFourth\n-1_0\t\n \n99999999999999999999\tBig"), (2, "data_record", "plain"), (3, "dialogue", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, doc_kind string, text string")
+    lines = {(r["doc_id"], r["line_no"]): (r["sentence_id"], r["sentence"], r["malformed"]) for r in text_queries.wiki_lines(lambda name: docs).collect()}
+    bad = (None, None, True)
+    assert lines == {(1, 0): (0, "First .", False), (1, 2): (12, "Second", False), (1, 3): bad, (1, 4): bad, (1, 5): bad, (1, 6): (-10, "", False), (1, 7): bad, (1, 8): bad, (2, 0): bad}
+    assert sorted(one(text_queries.wiki_line_counts(lambda name: docs))) == [(1, 8, 3, 5), (2, 1, 0, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks as Python's str.strip and \s know them.
@@ -58,3 +58,17 @@ def word_spans(c: Column) -> Column:
         return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "text": m.group()} for m in re.finditer("[^ ]+", t)], na_action="ignore")
 
     return spans(c)
+
+
+def wiki_line(line: Column) -> Column:
+    """sentence_id and sentence of a line of tab-separated fields; a malformed one (no tab, or no integer first) has neither. Integers as int() reads them, up to 64 bits."""
+    parts = F.split(line, "\t", 3)
+    head = F.regexp_replace(parts[0], f"^{BLANK}+|{BLANK}+$", "")
+    number = F.when(head.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.regexp_replace(head, "_", "").try_cast("long"))
+    good = (F.size(parts) >= 2) & number.isNotNull()
+    return F.struct(F.when(good, number).alias("sentence_id"), F.when(good, F.get(parts, F.lit(1))).alias("sentence"), F.coalesce(~good, F.lit(True)).alias("malformed"))
+
+
+def wiki_line_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: lines, sentences and malformed lines."""
+    return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("malformed")).alias("n_sentences"), F.count_if("malformed").alias("n_malformed"))

@@ -20,7 +20,8 @@ def normalize_text(t):
     return t("sentences").select("row_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
-@query("FN3 SC7", """
+# The data records only, as its SQL; wiki_lines reads all documents.
+@query("SC7", """
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, trim(parts[i], ' ') AS line
 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_kind = 'data_record'))
 WHERE trim(parts[i], ' ') <> ''""")
@@ -29,6 +30,23 @@ def wiki_line_explode(t):
     return lines.select("doc_id", F.col("p").cast("long").alias("line_no"), F.trim("line").alias("line")).filter("line <> ''")
 
 
+@query("FN3 SC7", """
+WITH l AS (SELECT doc_id, i - 1 AS line_no, parts[i] AS line, string_split(parts[i], chr(9)) AS f FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+n AS (SELECT *, CASE WHEN len(f) >= 2 AND regexp_full_match(trim(f[1], ' '), '[+-]?[0-9]+(_[0-9]+)*') THEN TRY_CAST(replace(trim(f[1], ' '), '_', '') AS BIGINT) END AS number FROM l WHERE line <> '')
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, trim(line, ' ') AS line, number AS sentence_id, CASE WHEN number IS NOT NULL THEN f[2] END AS sentence, number IS NULL AS malformed FROM n""")
+def wiki_lines(t):
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter("line <> ''")
+    return lines.select("doc_id", F.col("p").cast("long").alias("line_no"), F.trim("line").alias("line"), T.wiki_line(F.col("line")).alias("w")).select("doc_id", "line_no", "line", "w.*")
+
+
+@query("FN3", """
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN number IS NOT NULL THEN 1 END) AS n_sentences, count(CASE WHEN number IS NULL THEN 1 END) AS n_malformed
+FROM (SELECT doc_id, CASE WHEN contains(line, chr(9)) AND regexp_full_match(trim(string_split(line, chr(9))[1], ' '), '[+-]?[0-9]+(_[0-9]+)*') THEN TRY_CAST(replace(trim(string_split(line, chr(9))[1], ' '), '_', '') AS BIGINT) END AS number
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '') GROUP BY doc_id""")
+def wiki_line_counts(t):
+    return T.wiki_line_counts(wiki_lines(t), ["doc_id"])
+
+
 @query("PR7 FN6", """
 SELECT row_id, CAST(len(cells) AS INTEGER) AS n_cells, array_to_string(cells, '|') AS joined
 FROM (SELECT row_id, coalesce(list_filter(list_transform(string_split(text, ', '), lambda x: trim(x, ' ')), lambda x: x <> ''), []) AS cells FROM sentences)""")
