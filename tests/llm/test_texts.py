@@ -171,3 +171,9 @@ def test_residue(spark):
     df = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, message string")
     assert {r["doc_id"] for r in residue.residue(df).collect()} == set(range(len(RESIDUE))) | {900}
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_merging_removes_no_verdict(spark):
+    texts = ["Please enable javascript to continue.", "Please enable cookies to continue.", "The server returned error 500 today.", "The server returned error message today.", "Please allow cookies to continue."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["verdict"]) for r in residue.residue(df).collect()} == {(0, "script"), (2, "error")}

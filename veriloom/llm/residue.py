@@ -3,8 +3,8 @@
 Texts are cut into messages (sentences and lines); numbers and invented names become
 wild cards. Distinct messages go through a prefix tree of fixed depth (length, then
 the first tokens; in a leaf, messages that agree in most places, and in all words that
-the rules look at, share a template). Each template is classified once and the verdict
-goes back to its messages and their documents. Slots that no one filled are looked for apart from that, in every record.
+the rules look at, share a template). Templates and messages are classified and the verdict goes back to
+the documents; a message keeps its own verdict whatever it was merged with. Slots that no one filled are looked for apart from that, in every record.
 What is shown as code or quoted is set aside first, and a sentence with several names
 in it tells about something and is no message.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -227,14 +228,15 @@ def leaf_templates(found: DataFrame) -> DataFrame:
 
 
 def _classified(templates: DataFrame) -> DataFrame:
-    """template, verdict of the templates that are residue; each is classified once."""
+    """message, verdict of the messages that are residue by their template or by themselves, so that what merging erases is not lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = lru_cache(100_000)(classify)
         for batch in batches:
-            own = [(t, v) for t in batch.column(0).to_pylist() if (v := classify(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in own], pa.string()), pa.array([v for _, v in own], pa.string())], names=["template", "verdict"])
+            own = [(m, v) for m, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (v := classify(m) or (t != m and shared(t)))]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in own], pa.string()), pa.array([v for _, v in own], pa.string())], names=["message", "verdict"])
 
-    return templates.select("template").distinct().mapInArrow(run, "template string, verdict string")
+    return templates.select("message", "template").mapInArrow(run, "message string, verdict string")
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -261,7 +263,6 @@ def residue(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "message"])
 
     seen = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, message string"), "messages")
-    templates = written(leaf_templates(seen.filter("message <> ''")), "templates")
-    told = written(templates.join(_classified(templates), "template").select("message", "verdict"), "verdicts")
+    told = written(_classified(leaf_templates(seen.filter("message <> ''"))), "verdicts")
     hit = lookup_join(seen.filter("message <> ''"), told, "message").select("doc_id", "verdict")
     return hit.unionAll(seen.filter("message = ''").select("doc_id", F.lit("slot").alias("verdict"))).distinct()
