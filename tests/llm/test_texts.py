@@ -177,3 +177,22 @@ def test_merging_removes_no_verdict(spark):
     texts = ["Please enable javascript to continue.", "Please enable cookies to continue.", "The server returned error 500 today.", "The server returned error message today.", "Please allow cookies to continue."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r["doc_id"], r["verdict"]) for r in residue.residue(df).collect()} == {(0, "script"), (2, "error")}
+
+
+NAMED = ["Interner Serverfehler beim Abruf der Daten.", "Access denied to Norra Telvik by Halden Gate.", "404 Not Found at Norra Telvik for Halden Gate."]
+TOLD = ["Access denied is the title of a grand bakery by Fafin Galbi, shown in Bibapir in 1805.", "Printers in Masillin set lorem ipsum in trial sheets long before Zelri Selgor wrote about it.", "Norra Telvik said that access denied was all that Halden Gate saw."]
+
+
+def test_messages_with_several_names(spark):
+    df = spark.createDataFrame(list(enumerate(NAMED + TOLD)), "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == set(range(len(NAMED)))
+
+
+def test_rare_ordinary_words(spark, monkeypatch):
+    # Words beyond the broadcast ones count all the same.
+    texts = ["The old Zmorf and zmorf and zmorf and zmorf and zmorf and zmorf.", "we saw a qlarn, a qlarn, a qlarn and old old old", "Oops qlarn Zmorf Qlarn Zmorf Qlarn Zmorf Qlarn Zmorf"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, residue.residue(df).collect()))
+    assert (2, "filler") in want
+    monkeypatch.setattr(residue, "VOCABULARY", 1)
+    assert sorted(map(tuple, residue.residue(df).collect())) == want

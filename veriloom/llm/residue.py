@@ -5,8 +5,8 @@ wild cards. Distinct messages go through a prefix tree of fixed depth (length, t
 the first tokens; in a leaf, messages that agree in most places, and in all words that
 the rules look at, share a template). Templates and messages are classified and the verdict goes back to
 the documents; a message keeps its own verdict whatever it was merged with. Slots that no one filled are looked for apart from that, in every record.
-What is shown as code or quoted is set aside first, and a sentence with several names
-in it tells about something and is no message.
+What is shown as code or quoted is set aside first; a sentence with several names
+in it is a message if a rule matches and nothing in it tells about such messages.
 
 Which words are names is learned from the corpus: counts over all documents of how
 often a word stands in lower case.
@@ -19,6 +19,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+from re import _parser
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ..operators.skew import lookup_join
 from ..session import written
 
-#: The most frequent ordinary words that are broadcast; rarer ones count as names.
+#: The most frequent ordinary words that are broadcast; rarer ones are joined to the documents that hold them.
 VOCABULARY = 200_000
 #: Tokens of a message that the prefix tree branches on, after the length.
 DEPTH = 2
@@ -39,7 +40,7 @@ DEPTH = 2
 SIMILARITY = 0.7
 #: Distinct messages of a leaf that one task sorts; a larger leaf is sorted in parts.
 LEAF = 5_000
-#: Names a message may hold.
+#: Names a message may hold; with more, only the rules for fixed messages hold, and no telling about them.
 NAMES = 1
 
 # What the messages of servers, browsers and unfinished pages say, by verdict.
@@ -73,9 +74,37 @@ PLAIN_WORDS = (
 )
 HTML = frozenset("a abbr b big blockquote body br button center code div em font form h1 h2 h3 head hr html i iframe img input label li link meta nav ol option p pre s script section select small span strong style sub sup table tbody td th thead title tr tt u ul".split())
 MARKS = frozenset(("sic", "citation needed", "edit", "source", "sources", "note", "human", "assistant", "user", "system"))
+TELLING = (
+    r"\b(?:is|was|are|were|ist|war|est|était|es|era) (?:the |a |an |der |ein |le |un |el )?(?:title|name|nickname|motto|song|novel|film|album|poem|titel|roman|lied|titre|chanson|título|canción)\b", r"\b(?:said|says|saying|wrote|writes|written|reported|reports|told|tells|recalled|recalls|claimed|claims|explained|explains|announced|argued|noted|notes|described|describes|remembered|believed|learned|discovered|printed|printers|painted|titled|entitled|called|known as|spoke|complained)\b",
+    r"\b(?:sagte|schrieb|berichtete|erzählte|erklärte|behauptete|beschrieb|meldete|erinnerte|nannte|heißt|hieß|titelte)\b", r"\b(?:a|ont|avait) (?:dit|écrit|raconté|expliqué|annoncé|décrit|rapporté)\b", r"\b(?:écrivit|raconta|expliqua|intitulée?s?|dijo|escribió|contó|explicó|anunció|describió|informó|titulad[oa]s?)\b",
+)
 # End of fixed values.
 
 _RULES = [(name, re.compile("|".join(rules))) for name, rules in (("script", SCRIPT), ("error", ERROR), ("filler", FILLER))]
+
+
+def _needed(parsed) -> frozenset | None:
+    """Texts of which a match holds at least one: of the parts that a match must have, the one whose shortest text is longest."""
+    found, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset((run,)))
+            run = ""
+        if op is _parser.SUBPATTERN:
+            found.append(_needed(value[3]))
+        elif op is _parser.BRANCH:
+            each = [_needed(x) for x in value[1]]
+            found.append(None if None in each else frozenset().union(*each))
+    return max(filter(None, found), key=lambda x: min(map(len, x)), default=None)
+
+
+_NEEDED = {name: [x for x in sorted(every) if not any(y != x and y in x for y in every)] for name, rules in (("script", SCRIPT), ("error", ERROR), ("filler", FILLER)) if (every := frozenset().union(*(_needed(_parser.parse(r)) for r in rules)))}
+#: A word of each, which a message holds before its marks are dropped.
+_HINTS = sorted({max(x.split(), key=len) for own in _NEEDED.values() for x in own})
+_TELLING = re.compile("|".join(TELLING))
 #: The words that the rules look at; they are never names and never become wild cards.
 _CUES = frozenset(re.findall(r"[^\W\d_]{2,}", re.sub(r"\\[a-zA-Z]", " ", " ".join((*SCRIPT, *ERROR, *FILLER)))))
 _KNOWN = _CUES | LOREM | FUNCTION | frozenset(PLAIN_WORDS.split())
@@ -131,33 +160,54 @@ def text_label(line: str) -> bool:
     return bool(re.match(r"\w+: ", line))
 
 
+class Either(tuple):
+    """Sets, as one to look into."""
+
+    def __contains__(self, word) -> bool:
+        return any(word in own for own in self)
+
+
+def is_ordinary(t: str, ordinary, cased: bool) -> bool:
+    return len(t) == 1 or (low := t.lower()) in ordinary or low in _KNOWN or (cased and (t.islower() or not t[1:].islower() and not t.isupper()))
+
+
 def masked(message: str, ordinary, cased: bool) -> str | None:
-    """The message with * for names and # for numbers, or None if it has too many names to be one."""
-    out, names, lead = [], 0, True
+    """The message with * for names and # for numbers; with too many names ! goes before it, and None is no message."""
+    out, names, lead, text = [], 0, True, message.lower()
     for t in _TOKEN.findall(message):
-        low = t.lower()
         if any(c.isdigit() for c in t):
             token = "#"
-        elif len(t) == 1 or low in ordinary or low in _KNOWN or (cased and (t.islower() or not t[1:].islower() and not t.isupper())):
+        elif (low := t.lower()) in ordinary or is_ordinary(t, ordinary, cased):
             token, lead = low, False
         else:
             token = "*"
             if not lead or len(out) > 4:
                 names += 1
-                if names > NAMES:
+                if names == NAMES + 1 and not any(h in text for h in _HINTS):
                     return None
         if token not in "*#" or not out or out[-1] != token:
             out.append(token)
     if not out or all(t in ("*", "#") for t in out):
         return None
+    if names > NAMES:
+        return None if not ruled(template := " ".join(out)) or _TELLING.search(text) else f"! {template}"
     return " ".join(out)
 
 
+def ruled(template: str) -> str | None:
+    for name, rule in _RULES:
+        for own in _NEEDED[name]:  # most templates hold none of these, which is told sooner
+            if own in template:
+                if rule.search(template):
+                    return name
+                break
+    return None
+
+
 def classify(template: str) -> str | None:
     """script, error or filler; None for anything else."""
-    for name, rule in _RULES:
-        if rule.search(template):
-            return name
+    if name := ruled(template.removeprefix("! ")):
+        return name
     words = [w for w in template.split(" ") if w not in ("*", "#")]
     if len(words) >= 4:
         if sum(w in LOREM for w in words) >= 0.6 * len(words):
@@ -194,11 +244,30 @@ def ordinary_words(documents: DataFrame) -> DataFrame:
         yield flush()
 
     counts = documents.select("text").mapInArrow(run, "word string, n long, low long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
-    return counts.filter("n >= 3 AND 2 * low >= n").select("word", "n").orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    return counts.filter("n >= 3 AND 2 * low >= n").select("word", "n")
+
+
+def rarer_words(documents: DataFrame, rare: DataFrame, frequent) -> DataFrame:
+    """The documents with those of their words that are ordinary but not broadcast; these are joined, as they have no bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = frequent.value
+        for batch in batches:
+            ids, out = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if t := text.as_py():
+                    own = {w.lower() for w in _TOKEN.findall(t) if not is_ordinary(w, words, t != t.lower())}
+                    ids += [i] * len(own)
+                    out += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["_id", "word"])
+
+    unknown = documents.select("doc_id", "text").mapInArrow(run, "_id long, word string")
+    own = lookup_join(unknown, rare, "word").groupBy("_id").agg(F.collect_set("word").alias("words"))
+    return documents.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "words")
 
 
 def leaf_templates(found: DataFrame) -> DataFrame:
-    """(message, template) of the distinct messages, by the prefix tree; a message without any cue word stays its own template."""
+    """(message, template) of the distinct messages, by the prefix tree; a message without any cue word or with several names stays its own template."""
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         templates: list[list[str]] = []
@@ -219,8 +288,9 @@ def leaf_templates(found: DataFrame) -> DataFrame:
     words = F.split("message", " ")
     cues = F.array_join(F.filter(words, lambda w: w.isin(*sorted(_CUES))), " ")
     # Messages can share a template only if their cue words agree, so these may lead the way too.
+    alone = F.col("message").startswith("! ")
     branch = F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH), F.lit("/"), cues)
-    known = written(found.select("message").distinct().withColumn("branch", branch).withColumn("cued", cues != ""), "distinct")
+    known = written(found.select("message").distinct().withColumn("branch", branch).withColumn("cued", (cues != "") & ~alone), "distinct")
     parts = known.filter("cued").groupBy("branch").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).alias("parts"))
     inner = lookup_join(known.filter("cued"), parts, "branch").withColumn("part", F.pmod(F.xxhash64("message"), F.col("parts")))
     mined = inner.select("message", "branch", "part").groupBy("branch", "part").applyInPandas(leaf, "message string, template string")
@@ -241,14 +311,23 @@ def _classified(templates: DataFrame) -> DataFrame:
 
 def residue(documents: DataFrame) -> DataFrame:
     """doc_id, verdict: one row for each kind of residue that a document holds."""
-    ordinary = frozenset(r["word"] for r in ordinary_words(documents).collect())
-    shared = documents.sparkSession.sparkContext.broadcast(ordinary)
+    counted = written(ordinary_words(documents), "ordinary")
+    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in top))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(top) < VOCABULARY:
+        documents = documents.withColumn("words", F.lit(None).cast("array<string>"))
+    else:
+        last = top[-1]
+        rare = counted.filter((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("word") > last["word"])).select("word")
+        documents = rarer_words(documents, rare, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        frequent = shared.value
         for batch in batches:
             ids, out = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, text, rarer in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = Either((frequent, frozenset(rarer))) if rarer else frequent
                 text = text.as_py()
                 if not text:
                     continue
@@ -262,7 +341,7 @@ def residue(documents: DataFrame) -> DataFrame:
                     out.append(message)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "message"])
 
-    seen = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, message string"), "messages")
+    seen = written(documents.mapInArrow(run, "doc_id long, message string"), "messages")
     told = written(_classified(leaf_templates(seen.filter("message <> ''"))), "verdicts")
     hit = lookup_join(seen.filter("message <> ''"), told, "message").select("doc_id", "verdict")
     return hit.unionAll(seen.filter("message = ''").select("doc_id", F.lit("slot").alias("verdict"))).distinct()
