@@ -196,3 +196,9 @@ def test_rare_ordinary_words(spark, monkeypatch):
     assert (2, "filler") in want
     monkeypatch.setattr(residue, "VOCABULARY", 1)
     assert sorted(map(tuple, residue.residue(df).collect())) == want
+
+
+@pytest.mark.parametrize("slot", ["{{ title | default('x') }}", "{{ user['name'] }}", "{% block %}", "{% if a > b %}", "${ user.name ?: 'x' }", "<%= f(x, 1) %>", "{{ " + "a" * 60 + " }}", "@" + "a" * 50 + "@", "[insert the full name of the first and the second author of the page here]"])
+def test_slots_of_any_form(slot):
+    assert residue.has_slot(f"Hello {slot}, welcome")
+    assert not residue.has_slot("The sets {{}} and {{a, b} and 5 % > 4 hold, <% too, and ${} is empty.") and not residue.has_slot("The set {{1}, {2}} holds two sets.")

@@ -111,11 +111,13 @@ _KNOWN = _CUES | LOREM | FUNCTION | frozenset(PLAIN_WORDS.split())
 _SHOWN = re.compile(r"```.*?(?:```|\Z)|`[^`\n]{1,200}`", re.S)
 _QUOTED = re.compile(r"“([^“”]{1,120})”|\"([^\"\n]{1,120})\"|«([^«»]{1,120})»|„([^“„”]{1,120})[“”]")
 _SLOT = re.compile(
-    r"\{\{ ?[\w.\- ]{1,40} ?\}\}|\$\{ ?[\w.\- ]{1,40} ?\}|<%=? ?[\w.\- ]{1,40} ?%>|%\([\w.\- ]{1,40}\)[sd]|%%[\w.\-]{1,40}%%|(?<![\w.])@[A-Za-z]\w{1,40}@(?!\w)"
-    r"|(?<!\w)#[A-Za-z][A-Za-z_]{1,40}#(?!\w)|(?<!\w)__[A-Za-z](?:\w{0,40}?[A-Za-z])?__(?!\w)|\[\[[a-zA-Z_ ]{2,40}\]\]|\[(?:insert|your|enter|add) [\w ]{1,40}\]"
-    r"|(?-i:\[[A-Z][A-Z_]{2,40}\])|(?<![\w$])\{[A-Za-z]\w{1,40}\}|(?<![_\w])_{3,}(?![_\w])|(?<![\w%])%[sd](?![\w%])",
+    r"\{\{ ?[\w.\- ]+ ?\}\}|\$\{ ?[\w.\- ]+ ?\}|<%=? ?[\w.\- ]+ ?%>|%\([\w.\- ]+\)[sd]|%%[\w.\-]+%%|(?<![\w.])@[A-Za-z]\w+@(?!\w)"
+    r"|(?<!\w)#[A-Za-z][A-Za-z_]+#(?!\w)|(?<!\w)__[A-Za-z](?:\w*?[A-Za-z])?__(?!\w)|\[\[[a-zA-Z_ ]{2,}\]\]|\[(?:insert|your|enter|add) [^\[\]\n]+\]"
+    r"|(?-i:\[[A-Z][A-Z_]{2,}\])|(?<![\w$])\{[A-Za-z]\w+\}|(?<![_\w])_{3,}(?![_\w])|(?<![\w%])%[sd](?![\w%])",
     re.I,
 )
+#: Slots that their marks tell, whatever stands within.
+_MARKED_SLOTS = (("{{", "}}"), ("{%", "%}"), ("${", "}"), ("<%", "%>"))
 _SOFT_SLOT = re.compile(r"(?<![\w\[])\[([A-Za-z]{2,20}(?:[ _][A-Za-z]{2,20}){0,3})\](?![\w(\]])|<([A-Za-z]\w{1,40}(?: \w{1,40})?)>")
 _SPEAKER = re.compile(r"^[ \t]*(?:\[[A-Z][a-z]+\]:|[a-z]+ \d+:|[A-Z][a-z]+:(?=\s))[ \t]*", re.M)
 _FIELD = re.compile(r"^\w+: ?\S{0,40}")
@@ -130,12 +132,24 @@ def shown_removed(text: str) -> str:
     return _QUOTED.sub(lambda m: m.group() if " " not in (q := next(g for g in m.groups() if g is not None)).strip() or len(q) > 0.5 * len(text) else " ", text)
 
 
+def marked_slot(line: str) -> bool:
+    """Whether a slot stands in a line, up to its closing mark; {{1}, {2}} is a set of sets."""
+    for opening, closing in _MARKED_SLOTS:
+        at = line.find(opening)
+        while at >= 0 and (end := line.find(closing, at := at + 2)) >= 0:
+            inside = line[at:end]
+            if inside.strip(" \t=") and not ("}" in inside and inside.find("}") < inside.find("{") % (len(inside) + 1)):
+                return True
+            at = line.find(opening, end)
+    return False
+
+
 def has_slot(text: str) -> bool:
     """Whether an unfilled slot stands in a text of which code and quotes are removed."""
     if not any(c in text for c in "{[<%@#_"):
         return False
     line = re.sub(r"\s+", " ", text)
-    if _SLOT.search(line):
+    if _SLOT.search(line) or any(marked_slot(own) for own in text.split("\n")):
         return True
     return any((m.group(1) or "").lower() not in MARKS if m.group(1) else m.group(2).lower().split()[0] not in HTML for m in _SOFT_SLOT.finditer(line))
 
