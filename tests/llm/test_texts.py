@@ -202,3 +202,14 @@ def test_rare_ordinary_words(spark, monkeypatch):
 def test_slots_of_any_form(slot):
     assert residue.has_slot(f"Hello {slot}, welcome")
     assert not residue.has_slot("The sets {{}} and {{a, b} and 5 % > 4 hold, <% too, and ${} is empty.") and not residue.has_slot("The set {{1}, {2}} holds two sets.")
+
+
+def test_answers_in_other_scripts(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([("en", "the house was built in the year by the old bank and it stands near the river with many people where who"), ("de", "das alte haus wurde von der bank gebaut und steht heute neben dem fluss mit vielen menschen")] * 4)], "doc_id long, text string, lang string")
+    ask = "where was the house built by the bank"
+    bad = ["这座房子是由银行在河边建造的，有很多人住在那里。", "بني هذا البيت القديم من قبل البنك بجانب النهر.", "บ้านหลังนี้สร้างขึ้นโดยธนาคารริมแม่น้ำ", "この家は銀行によって川の近くに建てられました。", "DAS ALTE HAUS STEHT NEBEN DEM FLUSS UND WURDE VON DER BANK GEBAUT."]
+    good = [(ask, "THE OLD HOUSE WAS BUILT BY THE BANK NEAR THE RIVER."), ("这座房子在哪里建造的？", bad[0]), ("أين بني البيت القديم؟", bad[1])]
+    filler = [(1000 + i, "Where was it?", "Nelpel was built by Tor Bank in 1950.") for i in range(60)]
+    rows = [(i, ask, a) for i, a in enumerate(bad)] + [(100 + i, q, a) for i, (q, a) in enumerate(good)] + filler
+    got = pairs.defects(spark.createDataFrame(rows, "generation_id long, user_input string, generated_text string"), docs).collect()
+    assert {r["generation_id"]: r["defect"] for r in got} == dict.fromkeys(range(len(bad)), "other_language")
