@@ -213,3 +213,10 @@ def test_answers_in_other_scripts(spark):
     rows = [(i, ask, a) for i, a in enumerate(bad)] + [(100 + i, q, a) for i, (q, a) in enumerate(good)] + filler
     got = pairs.defects(spark.createDataFrame(rows, "generation_id long, user_input string, generated_text string"), docs).collect()
     assert {r["generation_id"]: r["defect"] for r in got} == dict.fromkeys(range(len(bad)), "other_language")
+
+
+@pytest.mark.parametrize(("a", "b"), [("modern", "rnodern"), ("paypal1", "paypall"), ("O0", "OO"), ("well–known", "well‐known"), ("“so”", "''so''"), ("ա", "w"), ("σ", "o"), ("ⲟⲣ", "op"), ("ꓐ", "B"), ("וו", "װ")])
+def test_skeletons_of_the_whole_table(spark, a, b):
+    assert C.skeleton(a) == C.skeleton(b) and C.skeleton(a) != C.skeleton("other")
+    df = spark.createDataFrame([("t", 1, "f", a), ("t", 2, "f", b), ("t", 3, "f", "other")], "table_name string, row_key long, field string, text string")
+    assert [(r["forms"], r["n"]) for r in C.look_alike_classes(df).collect()] == [(2, 2)]

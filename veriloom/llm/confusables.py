@@ -9,7 +9,7 @@ other scripts, joiners of their script or of an emoji, accents without a compose
 form, quotes, dashes, superscripts, fractions, signs).
 
 A pattern in the JVM passes on only values with characters outside the ordinary Latin
-repertoire; those alone reach Python, whole and in Arrow batches.
+repertoire for the canonical form; for skeletons every value reaches Python.
 
 Defined results: null stays null and is no case, nor is an empty text; texts of any
 length are treated whole; repeated rows each count; extra columns are ignored.
@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Look-alike letters and their Latin prototypes, after the public Unicode confusables data.
+from .prototypes import PROTOTYPE
+
+# Look-alike letters and their Latin prototypes, a part of the public Unicode confusables data, for the canonical form.
 CYRILLIC = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ү": "Y", "Ѵ": "V", "Ԍ": "G",
@@ -41,6 +43,8 @@ LATIN = {"ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i"}
 #: Alike enough within a Latin word, but too common in real words of their script to make one Latin.
 WEAK = {"к": "k", "κ": "k", "τ": "t", "χ": "x"}
 LOOKALIKE = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **LATIN}
+#: The whole public table; letters of the lists above that it keeps apart are prototypes of theirs.
+_PROTOTYPES = PROTOTYPE | {ord(c): "".join(PROTOTYPE.get(ord(x), x) for x in p) for c, p in (LOOKALIKE | WEAK).items()}
 SCRIPT = {c: n for n, table in enumerate((CYRILLIC, GREEK, ARMENIAN, CHEROKEE)) for c in table}
 RANGES = ((0x400, 0x530, 0), (0x370, 0x400, 1), (0x1F00, 0x2000, 1), (0x530, 0x590, 2), (0x13A0, 0x1400, 3), (0xAB70, 0xABC0, 3))
 
@@ -153,14 +157,14 @@ def canonical(text: str) -> str:
     return _latin_words(unicodedata.normalize("NFC", "".join(out)))
 
 
-def skeleton(text: str) -> str:
-    """Equal for texts that look the same: decomposed, every character its prototype, decomposed again.
+def prototypes(text: str) -> str:
+    """Decomposed, every character its prototype, decomposed again."""
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PROTOTYPES))
 
-    It is given in composed form, so that an ordinary text is its own skeleton.
-    """
-    shown = unicodedata.normalize("NFD", canonical(text))
-    again = unicodedata.normalize("NFD", "".join(LOOKALIKE.get(c) or WEAK.get(c) or c for c in shown))
-    return unicodedata.normalize("NFC", again)
+
+def skeleton(text: str) -> str:
+    """Equal for texts that look the same: the prototypes of the canonical form."""
+    return prototypes(canonical(text))
 
 
 def values(df: DataFrame, table_name: str, key: str, fields: list[str]) -> DataFrame:
@@ -206,7 +210,7 @@ def consistent(rows: DataFrame) -> DataFrame:
 
 def look_alike_classes(rows: DataFrame) -> DataFrame:
     """skeleton_id, forms, n: classes of different spellings of one look, by equal skeleton."""
-    shown = F.coalesce(_by(skeleton)(F.when(unusual(F.col("text")), F.col("text"))), F.col("text"))
+    shown = _by(prototypes)(canonical_column(F.col("text")))
     keyed = rows.filter(F.col("text").isNotNull()).select(F.md5(shown.cast("binary")).alias("skeleton_id"), F.md5(F.col("text").cast("binary")).alias("form"))
     per_form = keyed.groupBy("skeleton_id", "form").agg(F.count(F.lit(1)).alias("n"))
     return per_form.groupBy("skeleton_id").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter("forms > 1")
