@@ -121,3 +121,8 @@ def test_blocks_cover_everything(spark):
     df = spark.createDataFrame(rows, "result_id long, payload string")
     got = nested.explode_json(df, "result_id", "payload", "verified_candidates")
     assert got.agg(F.count_distinct("child_key")).first()[0] == 1800
+
+
+def test_all_arrays_of_a_holder():
+    texts = ['{"c":{"supporting":[{"corpus_id":"a"}],"contradicting":[{"corpus_id":"b"},{"corpus_id":"d"}]}}', '{"c":[[{"corpus_id":"a"},[{"corpus_id":"b"}]],{"corpus_id":"d"}]}']
+    assert indexed(texts) == [[(0, "a"), (1, "b"), (2, "d")]] * 2

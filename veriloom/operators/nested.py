@@ -169,10 +169,22 @@ def _fields(ix: StructuralIndex, pos: int, names: dict[bytes, int]) -> list[str
     return out
 
 
+def _flat(ix: StructuralIndex, pos: int) -> list[int]:
+    """Where the elements of an array begin, those of arrays within it in their place."""
+    out, left = [], [pos]
+    while left:
+        v = left.pop()
+        if ix.buf[v] == 91:
+            left += reversed(ix.elements(v))
+        else:
+            out.append(v)
+    return out
+
+
 def _children(ix: StructuralIndex, pos: int) -> list[int]:
-    """Where the candidates of the value at ``pos`` begin: an array's elements, an object itself or those it holds."""
+    """Where the candidates of the value at ``pos`` begin: an array's elements, an object itself, or what all its arrays hold, else its objects."""
     if ix.buf[pos] == 91:
-        return ix.elements(pos)
+        return _flat(ix, pos)
     if ix.buf[pos] != 123:
         return []
     a, b = ix.members(pos)
@@ -180,9 +192,9 @@ def _children(ix: StructuralIndex, pos: int) -> list[int]:
     if any(ix.buf[ix.key_from[i] : ix.key_to[i]].tobytes() in _OWN for i in own):
         return [pos]
     at = [ix.first_solid(int(ix.colons[i]) + 1) for i in own]
-    for v in at:
-        if ix.buf[v] == 91:
-            return ix.elements(v)
+    lists = [v for v in at if ix.buf[v] == 91]
+    if lists:
+        return [e for v in lists for e in _flat(ix, v)]
     return [v for v in at if ix.buf[v] == 123]
 
 
