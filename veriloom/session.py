@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+class NoSharedFolder(RuntimeError):
+    """The session names no folder that all executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a notebook) a local folder is used.
+    Only a master whose tasks run in this very process may leave it unset; on a cluster
+    a local folder would scatter the rows over machines, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise NoSharedFolder(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"veriloom-{os.getuid()}")
 
 
@@ -37,7 +46,7 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def drop_written() -> None:
-    """Delete the tables that ``written`` made in this process."""
+    """Delete the tables that ``written`` made in this process; a long session calls it once results are stored."""
     while _written:
         spark, path = _written.pop()
         try:
@@ -60,6 +69,7 @@ _shipped: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of the cluster, once per application."""
+    import shutil
     import zipfile
     from pathlib import Path
 
@@ -67,7 +77,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="veriloom-")) / "veriloom_package.zip"
+    folder = tempfile.mkdtemp(prefix="veriloom-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file until it ends
+    path = Path(folder) / "veriloom_package.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
