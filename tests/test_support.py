@@ -73,3 +73,37 @@ def test_stages(spark, tmp_path, data, capsys):
 def test_rebuilding_gives_the_same_rows(spark, data):
     q = catalog.queries()["pool_build"]
     assert index.same_rows(q(spark, data), q(spark, data))
+
+
+def test_pairs_of_hot_keys_meet_once_over_a_grid(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veriloom.operators import skew
+
+    monkeypatch.setattr(skew, "PER_CELL", 40)
+    rows = lambda n, name: spark.range(n).select(F.when(F.col("id") < 100, "hot").when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias(name))
+    left, right = rows(300, "a"), rows(250, "b")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, skew.pair_join(left, right, "k", least=50).collect())) == want
+    assert sorted(map(tuple, skew.pair_join(left, right, "k").collect())) == want
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    from veriloom import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(session.NoSharedFolder):
+        session.shared_dir(Session())
+    Session.sparkContext.master = "local[4]"
+    assert session.shared_dir(Session()).startswith("file:")
