@@ -36,6 +36,14 @@ def p1_forest(spark: SparkSession, d: str) -> DataFrame:
     return forest if forest is not None else spark.createDataFrame([], "u string, v string")
 
 
+def p1_check(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, groups, groups that stand in several splits, and whether every split has its share of the groups within a hundredth."""
+    rows = p1_splits(spark, d)
+    groups = rows.groupBy("group_root").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"), F.min("split").alias("split"))
+    share = lambda name, want: F.abs(F.count_if(F.col("split") == name) / F.count(F.lit(1)) - want) <= 0.01
+    return groups.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("splits") > 1).alias("n_torn"), (share("train", 0.8) & share("validation", 0.1) & share("test", 0.1)).alias("shares_met"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.deviating(_text_values(spark, d))
 
@@ -68,6 +76,14 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "pool_records"), table(spark, d, "rag_error_analysis"))
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.link_table(table(spark, d, "pool_records"), table(spark, d, "rag_error_analysis"))
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.membership(table(spark, d, "pool_records"), table(spark, d, "rag_error_analysis"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")))
 
@@ -76,6 +92,19 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(p7_packed(spark, d))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of space left."""
+    return packing.fill_report(p7_packed(spark, d))
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, those whose pieces are missing or double, and containers that hold too much."""
+    packed = p7_packed(spark, d)
+    pieces = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("d"), F.max("piece").alias("last"))
+    docs = pieces.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("n") != F.col("d")) | (F.col("last") + 1 != F.col("n"))).alias("n_torn"))
+    return docs.join(F.broadcast(packing.containers(packed).agg(F.count_if(F.col("free") < 0).alias("n_overfull"))))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 

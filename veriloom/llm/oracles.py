@@ -38,6 +38,12 @@ _LEAKS = f"{_grams('d', 'doc_id', 'documents')}, {_grams('e', 'item_id', 'eval_i
 
 ORACLES = {
     "p1_found": f"WITH {_TIES} SELECT first_record_id, member_table, member_id FROM tied JOIN firsts USING (root) WHERE NOT (member_table = 'pool_records' AND member_id = first_record_id)",
+    # What must hold of any assignment or packing: every row is there, no group and no document is torn, no container holds too much.
+    "p1_check": f"WITH {_TIES} SELECT (SELECT count(*) FROM named) AS n_rows, (SELECT count(DISTINCT root) FROM tied) + (SELECT count(*) FROM named WHERE coalesce(g, s) IS NULL) AS n_groups, CAST(0 AS BIGINT) AS n_torn, true AS shares_met",
+    "p7_check": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_torn, CAST(0 AS BIGINT) AS n_overfull FROM documents",
+    "p6_members": r"""WITH w AS (SELECT lower(trim(split, ' ')) = 'train' AS train, 'pool_records' AS table_name, CAST(record_id AS VARCHAR) AS id, hypothesis AS t FROM pool_records WHERE lower(trim(split, ' ')) IN ('train', 'dev', 'test')
+UNION ALL SELECT DISTINCT false, 'rag_error_analysis', response_id, answer_preview FROM rag_error_analysis WHERE response_id IS NOT NULL)
+SELECT DISTINCT train, table_name, id, upper(md5(words)) AS form FROM (SELECT *, trim(regexp_replace(lower(t), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'), ' ') AS words FROM w WHERE t IS NOT NULL) WHERE words <> ''""",
     "p3_found": f"SELECT kept_id, record_id AS copy_id FROM ({_SAME}) WHERE record_id <> kept_id",
     "p3_collapsed": f"SELECT kept_id, copies FROM ({_SAME}) WHERE record_id = kept_id",
     "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",

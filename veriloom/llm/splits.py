@@ -6,7 +6,9 @@ every component takes its least outgoing edge (edges have a strict total order,
 choices form trees), chosen edges go into the persisted spanning forest, components
 are contracted to the root of their tree and parallel edges shrink to the least. The
 number of components at least halves in a round, so there are few rounds; each ends
-with a written table. Roots are then put into bands of size and dealt to the splits
+with a written table. Where many vertices share a hub or a root, its rows stay where
+they are and meet a broadcast (``lookup_join``), so a component of any size is spread
+over all tasks. Roots are then put into bands of size and dealt to the splits
 by a low-discrepancy sequence within each band.
 
 Defined results: an id that is null, blank or without a number names nothing, as does
@@ -23,8 +25,6 @@ from ..operators.skew import lookup_join
 from ..session import written
 
 SEP = "\u001f"
-#: Edges from which on hubs are looked for before a join.
-BIG = 1_000_000
 #: Outer blanks that do not count, Python's as well as the Unicode separators.
 BLANK = r"[\s\u001c-\u001f\u0085\p{Z}]"
 
@@ -46,21 +46,18 @@ def members(pool: DataFrame, examples: DataFrame) -> DataFrame:
     return p.unionAll(v).select("member_table", "member_id", F.coalesce("g", "s").alias("a"), F.when(F.col("g") != F.col("s"), F.col("s")).alias("b"))
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame | None, DataFrame]:
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """Borůvka's contraction of ``edges`` (u, v).
 
     Returns the forest's edges (u, v), None if there are no edges, and (vertex, root)
     for every vertex that has an edge.
     """
-    spark = edges.sparkSession
     # Ties are broken by a hash, so that long chains are contracted at many places at once.
     live = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     live = written(live.select(F.xxhash64("u", "v").alias("w"), "u", "v", F.col("u").alias("cu"), F.col("v").alias("cv")), "edges")
     labels = live.select(F.explode(F.array("u", "v")).alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root"))
     forest = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            return forest, labels
+    while not live.isEmpty():
         ends = live.select(F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("to")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("to")))).alias("e"), "w", "u", "v")
         least = written(ends.groupBy(F.col("e.c").alias("c")).agg(F.min(F.struct("w", "u", "v", F.col("e.to").alias("to"))).alias("m")), "least")
         chosen = least.select("m.u", "m.v").distinct()
@@ -68,20 +65,19 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame |
         # Two components that chose each other chose the same edge; the smaller name becomes the root.
         hook = least.select("c", F.col("m.to").alias("p"))
         back = hook.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        parent = written(hook.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")), "hook")
+        parent = written(lookup_join(hook, back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")), "hook")
         while True:  # pointer jumping: halves the depth of the trees
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = written(parent.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "jump")
+            jumped = written(lookup_join(parent, up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "jump")
             parent = jumped.select("c", "p")
             if jumped.filter("moved").isEmpty():
                 break
         of = lambda name: parent.select(F.col("c").alias(name), F.col("p").alias(f"{name}_root"))
-        labels = written(labels.join(of("root"), "root", "left").select("vertex", F.coalesce("root_root", "root").alias("root")), "labels")
-        join = lookup_join if live.count() > BIG else (lambda left, right, key: left.join(right, key))  # a hub may hold many edges
-        pairs = join(join(live, of("cu"), "cu"), of("cv"), "cv").filter("cu_root <> cv_root")
+        labels = written(lookup_join(labels, of("root"), "root", "left").select("vertex", F.coalesce("root_root", "root").alias("root")), "labels")
+        pairs = lookup_join(lookup_join(live, of("cu"), "cu"), of("cv"), "cv").filter("cu_root <> cv_root")
         pairs = pairs.select("w", "u", "v", F.least("cu_root", "cv_root").alias("cu"), F.greatest("cu_root", "cv_root").alias("cv"))
         live = written(pairs.groupBy("cu", "cv").agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.w", "m.u", "m.v", "cu", "cv"), "edges")
-    raise RuntimeError(f"the graph did not contract in {max_rounds} rounds on {spark.sparkContext.applicationId}")
+    return forest, labels
 
 
 def tied(pool: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +91,7 @@ def tied(pool: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Most items have no edge and are their own root; only the others need the way back from root to item.
     alone = rooted.filter("root IS NULL").select(F.col("a").alias("root"), F.col("first").alias("first_record_id"), "n")
     merged = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first_record_id"), F.sum("n").alias("n"))
-    back = merged.join(labels, "root").select(F.col("vertex").alias("a"), "root", "first_record_id", "n")
+    back = lookup_join(labels, merged, "root").select(F.col("vertex").alias("a"), "root", "first_record_id", "n")
     return rows, alone.select(F.col("root").alias("a"), "root", "first_record_id", "n").unionAll(back)
 
 
