@@ -60,7 +60,7 @@ def test_lookup_join_with_a_hot_key(spark):
     for how, n in (("inner", 2000), ("left", 3000), ("left_semi", 2000)):
         got = skew.lookup_join(rows, side, "k", how, least=500)
         assert got.count() == n == rows.join(side, "k", how).count()
-    assert skew.hot_keys(rows, "k", 500).collect()[0]["k"] == "hot"
+    assert sorted(map(str, one(skew.lookup_join(rows, side, "k", "left_anti", least=500)))) == sorted(map(str, one(rows.join(side, "k", "left_anti"))))
 
 
 def test_issues_and_profile(spark):
@@ -83,10 +83,63 @@ def test_evidence_resolution(spark):
     refs = '[[{"wiki_url":"P","sentence_id":1},{"wiki_url":"P","sentence_id":9}],[{"sentence_id":2,"wiki_url":"P"},{"wiki_url":"P","sentence_id":1}],[]]'
     df = spark.createDataFrame([(1, refs), (2, "[]"), (3, None), (4, "broken"), (5, '[[{"wiki_url":"Q","sentence_id":1}]]'), (6, '[[{"wiki_url":null,"sentence_id":-1}]]'), (7, '[[{"wiki_url":"P","sentence_id":3}]]')], "id long, r string")
     s = spark.createDataFrame([(1, "P", 1, "one"), (2, "P", 1, "late"), (3, "P", 2, "two"), (4, "P", 3, " ")], "row_id long, page_id string, sentence_id long, text string")
-    resolved = claims.resolve_sentences(claims.evidence_references(df, "id", "r"), claims.sentence_index(s))
+    docs = spark.createDataFrame([(1, "P", "the whole page"), (2, "P", "late"), (3, "E", " "), (4, "Caf\u00e9", "coffee"), (5, None, "x")], "doc_id long, page_id string, text string")
+    more = spark.createDataFrame([(8, '[[{"wiki_url":"P","sentence_id":-1}],[{"wiki_url":"P","sentence_id":1}]]'), (9, '[[{"wiki_url":"E","sentence_id":-1}]]'), (10, '[[{"wiki_url":"Cafe\u0301","sentence_id":-1}]]'), (11, '[[{"wiki_url":"P","sentence_id":null}]]'), (12, '[[{"wiki_url":"","sentence_id":1}]]'), (13, '[[{"wiki_url":"None","sentence_id":-1}]]')], "id long, r string")
+    pages = claims.Pages(s, docs)
+    resolved = claims.resolve_sentences(claims.evidence_references(df.unionAll(more), "id", "r"), pages)
     status = {(r["id"], r["set_pos"], r["ref_pos"]): r["status"] for r in resolved.collect()}
-    assert status == {(1, 0, 0): "resolved", (1, 0, 1): "sentence_not_found", (1, 1, 0): "resolved", (1, 1, 1): "resolved", (5, 0, 0): "page_not_found", (6, 0, 0): "no_page", (7, 0, 0): "empty_resolved_text"}
-    assert one(claims.first_resolved_set(resolved, "id")) == [(1, 1, 2, "two one")]
+    assert status == {
+        (1, 0, 0): "resolved", (1, 0, 1): "missing_sentence_id", (1, 1, 0): "resolved", (1, 1, 1): "resolved", (5, 0, 0): "missing_page", (6, 0, 0): "missing_page", (7, 0, 0): "empty_resolved_text", (8, 0, 0): "resolved", (8, 1, 0): "resolved",
+        (9, 0, 0): "empty_resolved_text", (10, 0, 0): "resolved", (11, 0, 0): "missing_sentence_id", (12, 0, 0): "missing_page", (13, 0, 0): "missing_page",
+    }
+    assert sorted(one(claims.first_resolved_set(resolved, pages, "id"))) == [(1, 1, 2, "two one"), (8, 0, 1, "the whole page"), (10, 0, 1, "coffee")]
+
+
+def test_subsets_expand_and_unknown_ones_are_refused(spark):
+    raw = spark.createDataFrame([(0, "k", "", "q", "yes", "no"), (1, None, "h", None, None, "x")], "raw_index long, knowledge string, dialogue_history string, question string, right_response string, hallucinated_response string")
+    rows = {r["example_id"]: (r["context"], r["candidate_response"], r["label"], r["source_field"]) for r in claims.expand_subset(raw, "dialogue").collect()}
+    assert rows == {"dialogue_0_not_hallucinated": ("k", "yes", "not_hallucinated", "right_response"), "dialogue_0_hallucinated": ("k", "no", "hallucinated", "hallucinated_response"), "dialogue_1_not_hallucinated": ("h", "", "not_hallucinated", "right_response"), "dialogue_1_hallucinated": ("h", "x", "hallucinated", "hallucinated_response")}
+    with pytest.raises(claims.UnknownSubset):
+        claims.expand_subset(raw, "poems")
+
+
+def test_rows_keep_their_place_over_files(spark, tmp_path):
+    for k, (a, b) in enumerate(((0, 5), (5, 8), (8, 20))):
+        spark.range(a, b, 1, 1).write.parquet(str(tmp_path / f"part={k}"))
+    got = claims.positional_index(spark.read.parquet(str(tmp_path))).collect()
+    assert len(got) == 20 and all(r["id"] == r["raw_index"] for r in got)
+
+
+def test_guards_fail_inside_the_plan(spark):
+    df = spark.createDataFrame([(1, "fever", "train", False), (2, "halueval", " QA ", False)], "id long, source_dataset string, source_subset string, bad boolean")
+    pool = lambda rows, requested: leakage.training_pool(rows, requested, F.col("bad"), F.col("id"), False)
+    assert pool(df, [("fever", "train"), ("halueval", "qa")]).count() == 2
+    with pytest.raises(leakage.RoleViolation):
+        pool(df, [("ragtruth", "test")])
+    with pytest.raises(Exception, match="contaminated record: 3"):
+        pool(df.unionAll(spark.createDataFrame([(3, "fever", "train", True)], df.schema)), [("fever", "train")]).collect()
+    rules = leakage.training_rules(F.col("source_dataset"), F.col("source_subset"), F.col("bad"))
+    for source, name in (("ragtruth", "forbidden source"), ("other", "unknown source")):
+        with pytest.raises(Exception, match=f"{name}: 9"):
+            leakage.guarded(spark.createDataFrame([(9, source, "train", False)], df.schema), rules, F.col("id")).collect()
+    with pytest.raises(Exception, match="several splits"):
+        leakage.one_split_each(spark.createDataFrame([("g", "a"), ("g", "b")], "g string, s string"), "g", "s").collect()
+    for value in (float("nan"), float("inf"), None):
+        rows = spark.createDataFrame([("q", value, 0.5)], "q string, entailment_probability double, contradiction_probability double")
+        with pytest.raises(Exception, match="NotFinite"):
+            decide.query_aggregates(rows, ["q"]).collect()
+
+
+def test_rules_of_responses_pairs_and_targets(spark):
+    df = spark.createDataFrame([(1, "t", "train", False, "QA", "good"), (2, "", "dev", True, "Poem", "bad"), (3, None, None, False, None, None)], "id int, t string, s string, m boolean, k string, q string")
+    got = sorted(one(quality.coded_issues(df, ["id"], quality.response_rules(*[F.col(c) for c in "tsmkq"]))))
+    assert got == [(2, "empty_or_missing_response_text"), (2, "invalid_split:'dev'"), (2, "source_missing"), (2, "unexpected_quality:'bad'"), (2, "unexpected_task_type:'Poem'"), (3, "empty_or_missing_response_text"), (3, "invalid_split:None")]
+    df = spark.createDataFrame([(1, "t", "hallucinated", "general", "", "[]", "ID"), (2, "", "x", "qa", None, "{}", "7"), (3, "t", "hallucinated", "general", "", '[{"a":1}]', ""), (4, "t", "not_hallucinated", "qa", "c", None, None), (5, "t", "hallucinated", "general", "", "broken", "1")], "id int, t string, l string, s string, c string, j string, r string")
+    got = sorted(one(quality.coded_issues(df, ["id"], quality.pair_rules(*[F.col(c) for c in "tlscjr"]))))
+    assert got == [(1, "hallucinated_with_no_spans"), (1, "suspicious_raw_id:'ID'"), (2, "empty_or_missing_candidate_response"), (2, "hallucination_spans_not_a_list"), (2, "invalid_label:'x'"), (2, "missing_context"), (3, "suspicious_raw_id:''"), (5, "hallucination_spans_not_a_list")]
+    df = spark.createDataFrame([(1, '{"a":1,"b":0}'), (2, None), (3, "{}"), (4, "[1]"), (5, '{"a":0}'), (6, '{"a":2,"b":1}'), (7, '{"a":"1"}'), (8, '{"a":null,"b":1}'), (9, "no json")], "id int, t string")
+    got = sorted(one(quality.coded_issues(df, ["id"], quality.target_rules("mc", F.col("t"), F.lit(True)))))
+    assert got == [(2, "missing_mc_despite_has_mc_data"), (3, "mc_not_a_nonempty_dict"), (4, "mc_not_a_nonempty_dict"), (5, "mc_has_no_correct_option"), (6, "mc_has_non_binary_values"), (7, "mc_has_no_correct_option"), (7, "mc_has_non_binary_values"), (8, "mc_has_non_binary_values"), (9, "mc_not_a_nonempty_dict")]
 
 
 def test_roles_and_split(spark):

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shape import top_n
+
 
 class NotFinite(ValueError):
     """A probability is null, NaN or infinite."""
@@ -23,8 +25,18 @@ def not_finite(p: Column) -> Column:
     return p.isNull() | F.isnan(p) | (F.abs(p) == float("inf"))
 
 
+def finite(p: Column, present: Column | None = None) -> Column:
+    """The probability; the running query fails on a null, NaN or infinite one before any comparison could see it.
+
+    Spark orders NaN above all numbers, so it would pass every threshold. Where
+    ``present`` is false there is no candidate and the value is null.
+    """
+    bad = not_finite(p) if present is None else present & not_finite(p)
+    return F.when(bad, F.raise_error(F.concat(F.lit("NotFinite: "), F.coalesce(p.cast("string"), F.lit("null")))).cast("double")).otherwise(p)
+
+
 def require_finite(df: DataFrame, columns: list[str]) -> None:
-    """Raises before any comparison could see a NaN, which Spark orders above all numbers."""
+    """The same as a check of its own, on the driver, before anything is planned."""
     bad = df.filter(sum((not_finite(F.col(c)).cast("int") for c in columns), F.lit(0)) > 0).limit(1).count()
     if bad:
         raise NotFinite(", ".join(columns))
@@ -35,19 +47,27 @@ def select_evidence(candidates: DataFrame, keys: list[str], probability: str, ra
     return candidates.groupBy(*keys).agg(F.max_by(item, F.struct(F.col(probability), -F.col(rank))).alias("selected"))
 
 
-def query_aggregates(candidates: DataFrame, keys: list[str], policy: Policy = Policy()) -> DataFrame:
-    """Best and second entailment, their margin, best contradiction and counts above the thresholds."""
-    ent, con = F.col("entailment_probability"), F.col("contradiction_probability")
-    agg = candidates.groupBy(*keys).agg(
-        F.slice(F.sort_array(F.collect_list(ent), asc=False), 1, 2).alias("_top"),
-        F.max(con).alias("max_con"),
-        F.count(F.lit(1)).alias("num_candidates"),
-        F.count_if(ent >= policy.entailment_threshold).alias("n_above_ent"),
-        F.count_if(con >= policy.contradiction_threshold).alias("n_above_con"),
+def query_aggregates(candidates: DataFrame, keys: list[str], policy: Policy = Policy(), present: Column | None = None) -> DataFrame:
+    """Best and second entailment, their margin, best contradiction and counts above the thresholds.
+
+    Of a key only the two best entailments are kept, before the shuffle as after it.
+    Rows for which ``present`` is false stand for a key without candidates.
+    """
+    there = F.lit(True) if present is None else F.coalesce(present, F.lit(False))
+    rows = candidates.select(*keys, finite(F.col("entailment_probability"), there).alias("_ent"), finite(F.col("contradiction_probability"), there).alias("_con"), there.alias("_there"))
+    agg = rows.groupBy(*keys).agg(
+        F.max("_con").alias("max_con"),
+        F.count_if("_there").alias("num_candidates"),
+        F.count_if(F.col("_ent") >= policy.entailment_threshold).alias("n_above_ent"),
+        F.count_if(F.col("_con") >= policy.contradiction_threshold).alias("n_above_con"),
     )
-    top = F.col("_top")
-    out = agg.withColumn("max_ent", F.try_element_at(top, F.lit(1))).withColumn("second_ent", F.try_element_at(top, F.lit(2)))
-    return out.withColumn("margin", F.col("max_ent") - F.col("second_ent")).drop("_top")
+    best = top_n(rows.select(*keys, "_ent"), keys, [F.desc("_ent")], 2, "_place")
+    two = best.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("_ent").alias("max_ent"), F.max(F.when(F.col("_place") == 2, F.col("_ent"))).alias("second_ent"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = agg.join(two, same).withColumn("margin", F.col("max_ent") - F.col("second_ent"))
+    return out.select(*keys, "max_con", "num_candidates", "n_above_ent", "n_above_con", "max_ent", "second_ent", "margin")
 
 
 def decision(policy: Policy, ent: Column, con: Column, margin: Column) -> Column:

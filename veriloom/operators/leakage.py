@@ -73,3 +73,52 @@ def require_safe(df: DataFrame, rules: dict[str, Column]) -> None:
     broken = {name: n for name, n in counts.items() if n}
     if broken:
         raise UnsafeRecords(", ".join(f"{name}: {n}" for name, n in broken.items()))
+
+
+def guarded(df: DataFrame, rules: dict[str, Column], key: Column) -> DataFrame:
+    """The same rows; the running query fails on the first row that breaks a rule, naming the rule and the row's ``key``.
+
+    The check is part of the plan, so it costs no pass of its own and nothing downstream sees a row that breaks it.
+    """
+    holds = F.lit(True)
+    for name, broken in reversed(rules.items()):
+        holds = F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.concat(F.lit(f"{name}: "), F.coalesce(key.cast("string"), F.lit("null")))).cast("boolean")).otherwise(holds)
+    return df.filter(holds)
+
+
+# Sources that may be trained on, and those that never may.
+ALLOWED = (("fever", "train"), ("halueval", "qa"), ("halueval", "dialogue"), ("halueval", "summarization"))
+FORBIDDEN = ("ragtruth", "truthfulqa")
+TRAINED_LABELS = ("entailment", "contradiction")
+# End of fixed values.
+
+
+def source_group(dataset: Column, subset: Column) -> Column:
+    """The group a record's measures are broken down by: halueval by subset, any other source as a whole."""
+    return F.when(dataset == "halueval", F.concat_ws(".", dataset, F.lower(F.trim(subset)))).otherwise(dataset)
+
+
+def allowed_source(dataset: Column, subset: Column) -> Column:
+    named = F.concat_ws(".", dataset, F.lower(F.trim(subset)))
+    return F.coalesce(named.isin(*[".".join(p) for p in ALLOWED]), F.lit(False))
+
+
+def training_rules(dataset: Column, subset: Column, contaminated: Column) -> dict[str, Column]:
+    """What no record of a training pool may be."""
+    return {"forbidden source": dataset.isin(*FORBIDDEN), "unknown source": ~allowed_source(dataset, subset), "contaminated record": contaminated}
+
+
+def training_pool(df: DataFrame, requested: list[tuple[str, str]], contaminated: Column, key: Column, exclude_contamination: bool = True) -> DataFrame:
+    """Rows of the requested sources; raises at once if one of them may not be trained on, and in the plan on any unsafe row."""
+    require_roles({".".join(r) for r in requested}, {".".join(p) for p in ALLOWED})
+    named = F.concat_ws(".", "source_dataset", F.lower(F.trim("source_subset")))
+    rows = df.filter(named.isin(*[".".join(r) for r in requested]))
+    if exclude_contamination:
+        rows = rows.filter(~contaminated)
+    return guarded(rows, training_rules(F.col("source_dataset"), F.col("source_subset"), contaminated), key)
+
+
+def one_split_each(df: DataFrame, group: str, split: str) -> DataFrame:
+    """(group, split) with one row each; the running query fails on a group that stands in several splits."""
+    per = df.groupBy(group).agg(F.count_distinct(split).alias("_splits"), F.min(split).alias(split))
+    return guarded(per, {"group in several splits": F.col("_splits") > 1}, F.col(group)).select(group, split)

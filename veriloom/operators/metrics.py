@@ -74,3 +74,27 @@ def choice_scores(df: DataFrame, key: str, likelihood: str, place: str, right: s
     e = F.exp(F.col(likelihood) - F.max(likelihood).over(top))
     rows = df.withColumn("_e", e)
     return rows.groupBy(key).agg(F.max_by(right, F.struct(F.col(likelihood), -F.col(place))).alias("best_right"), (F.sum(F.when(F.col(right), F.col("_e")).otherwise(0.0)) / F.sum("_e")).alias("mass"))
+
+
+def summary(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None, labels: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """(by, n, accuracy, macro_f1, weighted_f1): over the given labels, or all that occur on either side; undefined measures are 0, groups without rows have none."""
+    by = by or []
+    per = report(df, truth, predicted, by, 17)
+    if labels is not None:
+        per = per.filter(F.col("label").isin(*labels))
+    f, n = F.col("f1"), F.col("support")
+    macro = F.sum("f1") / (F.lit(float(len(labels))) if labels is not None else F.count(F.lit(1)))
+    scores = per.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.coalesce(macro, F.lit(0.0)).alias("macro_f1"), F.coalesce(ratio(F.sum(f * n), F.sum(n)), F.lit(0.0)).alias("weighted_f1"))
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col(truth) == F.col(predicted), 1.0).otherwise(0.0)), F.lit(0.0)).alias("accuracy"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    r = lambda c: F.round(c, digits).alias(c)
+    return rows.join(scores, same).select(*by, "n", r("accuracy"), r("macro_f1"), r("weighted_f1"))
+
+
+def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
+    """(truth, predicted, n) of every pair of labels, none left out."""
+    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "truth string, predicted string")
+    seen = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(grid).join(seen, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -120,3 +120,86 @@ def span_issues(df: DataFrame, keys: list[str], text: str, spans: str, rules: di
     each = F.transform(F.when(body.isNotNull(), span_statuses(body, array)), lambda s, i: F.struct(i.alias("span_no"), s.alias("issue")))
     faulty = F.filter(each, lambda e: ~e["issue"].isin("match", "no_label_text"))
     return df.select(*keys, F.inline(F.concat(own, F.coalesce(faulty, F.array().cast("array<struct<span_no:int,issue:string>>")))))
+
+
+def code_with_value(code: str, value: Column) -> Column:
+    """An issue code with the offending value as a literal: code:'value', or code:None."""
+    return F.concat(F.lit(f"{code}:"), F.coalesce(F.concat(F.lit("'"), value, F.lit("'")), F.lit("None")))
+
+
+def coded_issues(df: DataFrame, keys: list[str], rules: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+    """One row (keys, issue) for each broken rule; a rule with a value column names that value in its code."""
+    codes = [F.when(F.coalesce(broken, F.lit(False)), F.lit(code) if value is None else code_with_value(code, value)) for code, (broken, value) in rules.items()]
+    return df.select(*keys, F.explode(F.array_compact(F.array(*codes))).alias("issue"))
+
+
+# What responses and questions may be.
+SPLITS = ("train", "test")
+TASKS = ("Summary", "Data2txt", "QA")
+QUALITIES = ("good", "truncated", "incorrect_refusal")
+PAIR_LABELS = ("hallucinated", "not_hallucinated")
+SUSPICIOUS_IDS = ("", "ID")
+# End of fixed values.
+
+
+def unknown(value: Column, known: tuple[str, ...], null_is_known: bool = False) -> Column:
+    return F.coalesce(~value.isin(*known), F.lit(not null_is_known))
+
+
+def response_rules(text: Column, split: Column, source_missing: Column, task: Column, quality: Column) -> dict[str, tuple[Column, Column | None]]:
+    """The rules of a response apart from its spans."""
+    return {
+        "empty_or_missing_response_text": (F.coalesce(text == "", F.lit(True)), None), "invalid_split": (unknown(split, SPLITS), split), "source_missing": (source_missing, None),
+        "unexpected_task_type": (unknown(task, TASKS, True), task), "unexpected_quality": (unknown(quality, QUALITIES, True), quality),
+    }
+
+
+def pair_rules(text: Column, label: Column, subset: Column, context: Column, spans: Column, raw_id: Column) -> dict[str, tuple[Column, Column | None]]:
+    """The rules of a labelled answer; ``context`` is its joined context, ``spans`` JSON text."""
+    parsed = F.try_parse_json(spans)
+    is_list = F.schema_of_variant(parsed).startswith("ARRAY")
+    none = F.size(F.try_variant_get(parsed, "$", "array<variant>")) == 0
+    general = subset == "general"
+    return {
+        "empty_or_missing_candidate_response": (F.coalesce(text == "", F.lit(True)), None), "invalid_label": (unknown(label, PAIR_LABELS), label), "missing_context": (~general & (F.coalesce(context, F.lit("")) == ""), None),
+        "hallucination_spans_not_a_list": (spans.isNotNull() & ~F.coalesce(is_list, F.lit(False)), None), "hallucinated_with_no_spans": (general & (label == "hallucinated") & is_list & none, None),
+        "suspicious_raw_id": (raw_id.isin(*SUSPICIOUS_IDS), raw_id),
+    }
+
+
+def target_rules(name: str, targets: Column, expected: Column) -> dict[str, tuple[Column, Column | None]]:
+    """The rules of multiple-choice targets, a JSON object of options with 1 (right) or 0."""
+    parsed = F.try_parse_json(targets)
+    kind = F.coalesce(F.schema_of_variant(parsed), F.lit(""))
+    options = F.try_variant_get(parsed, "$", "map<string,variant>")
+    values = F.map_values(options)
+    number = lambda v: F.when(F.schema_of_variant(v).isin("BIGINT", "DOUBLE", "BOOLEAN") | F.schema_of_variant(v).startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+    whole = kind.startswith("OBJECT") & (F.size(values) > 0)
+    binary = lambda v: F.coalesce(number(v).isin(0.0, 1.0), F.lit(False))
+    right = lambda v: F.coalesce(number(v) == 1.0, F.lit(False))
+    return {
+        f"missing_{name}_despite_has_mc_data": (targets.isNull() & expected, None), f"{name}_not_a_nonempty_dict": (targets.isNotNull() & ~F.coalesce(whole, F.lit(False)), None),
+        f"{name}_has_non_binary_values": (whole & F.exists(values, lambda v: ~binary(v)), None), f"{name}_has_no_correct_option": (whole & ~F.exists(values, right), None),
+    }
+
+
+def label_like(profile: DataFrame, most: int = 10) -> DataFrame:
+    """Columns of a profile that look like labels: at most ``most`` different values, and at least one."""
+    return profile.filter((F.col("n_distinct") <= most) & (F.col("n_distinct") > 0)).select("column_name", "n_distinct")
+
+
+def json_keys(df: DataFrame, payload: str) -> DataFrame:
+    """(key, n, in_all, kinds) over the objects in a JSON text column: how many have the key, whether all do, and the kinds its values have."""
+    parsed = df.select(F.try_parse_json(payload).alias("v"), F.col(payload).alias("t")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    total = parsed.agg(F.count(F.lit(1)).alias("_all"))
+    each = parsed.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "value"))
+    s = F.coalesce(F.schema_of_variant("value"), F.lit("VOID"))
+    kind = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number")
+    per = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"))  # six kinds at most
+    return per.join(F.broadcast(total)).select("key", "n", (F.col("n") == F.col("_all")).alias("in_all"), "kinds")
+
+
+def link_choice(overlap: DataFrame, least: float = 0.9) -> DataFrame:
+    """The column that links two tables: the one with the largest share of known values, if that is above ``least``; ties go to the first name."""
+    best = overlap.filter(F.col("share") > least).agg(F.min_by(F.struct("column_name", "share"), F.struct(-F.col("share"), F.col("column_name"))).alias("b"))
+    return best.select(F.col("b.column_name").alias("column_name"), F.col("b.share").alias("share")).filter("column_name IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,21 @@ def lookup_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner",
     shuffled on the key as usual. ``how`` is inner, left, left_semi or left_anti; rows
     with a null key match nothing.
     """
-    found = hot_rows(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "_n", least)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = hot_rows(counts, "_n", least)
     if not found:
         return rows.join(side, key, how)
-    hot = rows.sparkSession.createDataFrame([(r[key],) for r in found], T.StructType([rows.schema[key]]))
+    if any(r[key] is None for r in found):  # many nulls: they need no join, but would all meet in one task
+        out = _split(rows.filter(F.col(key).isNotNull()), side, key, how, [r for r in found if r[key] is not None])
+        nulls = rows.filter(F.col(key).isNull())
+        return out.unionByName(nulls, allowMissingColumns=True) if how in ("left", "left_anti") else out
+    return _split(rows, side, key, how, found)
+
+
+def _split(rows: DataFrame, side: DataFrame, key: str, how: str, found: list[Row]) -> DataFrame:
+    if not found:
+        return rows.join(side, key, how)
+    hot = rows.sparkSession.createDataFrame([(r[key],) for r in found], T.StructType([T.StructField(key, rows.schema[key].dataType)]))
     few = F.broadcast(side.join(F.broadcast(hot), key, "left_semi"))
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     warm = marked.filter(F.col("_hot").isNull()).drop("_hot")
@@ -50,7 +61,7 @@ def pair_join(left: DataFrame, right: DataFrame, key: str, least: int = 10_000)
     if not found:
         return left.join(right, key)
     grid = left.sparkSession.createDataFrame(
-        [(r[key], -(-r["_l"] // PER_CELL), -(-r["_r"] // PER_CELL)) for r in found], T.StructType([left.schema[key], T.StructField("_rows", T.LongType()), T.StructField("_columns", T.LongType())])
+        [(r[key], -(-r["_l"] // PER_CELL), -(-r["_r"] // PER_CELL)) for r in found], T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("_rows", T.LongType()), T.StructField("_columns", T.LongType())])
     )
 
     def cells(df: DataFrame, own: str, across: str) -> DataFrame:
@@ -59,8 +70,3 @@ def pair_join(left: DataFrame, right: DataFrame, key: str, least: int = 10_000)
         return marked.select(*df.columns, place, F.explode(F.sequence(F.lit(0), F.col(across) - 1)).alias(across[:-1]))
 
     return cells(left, "_rows", "_columns").join(cells(right, "_columns", "_rows"), [key, "_row", "_column"]).drop("_row", "_column")
-
-
-def null_safe_key(*columns: Column) -> Column:
-    """One text for several columns in which null equals null only; for joins that must treat nulls as values."""
-    return F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import shape as S
+from ..operators.skew import lookup_join
 from .registry import query
 from .text_queries import norm_sql
 
@@ -15,9 +16,16 @@ REFS = """refs AS (
   FROM (SELECT record_id, sets, s, unnest(range(1, len(sets[s]) + 1)) AS r FROM (SELECT record_id, sets, unnest(range(1, len(sets) + 1)) AS s
     FROM (SELECT record_id, from_json(premise_reference, '[[{"wiki_url":"VARCHAR","sentence_id":"BIGINT"}]]') AS sets FROM pool_records WHERE premise_reference IS NOT NULL)))),
 idx AS (SELECT page_id, sentence_id, arg_min(struct_pack(t := text), row_id).t AS text FROM sentences GROUP BY page_id, sentence_id)"""
-STATUS = f"""resolved AS (
-  SELECT r.*, i.text, CASE WHEN r.page_id IS NULL OR r.page_id = '' THEN 'no_page' WHEN p.page_id IS NULL THEN 'page_not_found' WHEN i.text IS NULL THEN 'sentence_not_found' WHEN {norm_sql('i.text')} = '' THEN 'empty_resolved_text' ELSE 'resolved' END AS status
-  FROM refs r LEFT JOIN idx i ON r.page_id = i.page_id AND r.sentence_id = i.sentence_id LEFT JOIN (SELECT DISTINCT page_id FROM idx) p ON r.page_id = p.page_id)"""
+STATUS = f"""pages AS (SELECT page_id, arg_min(struct_pack(t := text), doc_id).t AS page_text FROM documents WHERE page_id IS NOT NULL GROUP BY page_id),
+listed AS (SELECT page_id FROM sentences WHERE page_id IS NOT NULL UNION SELECT page_id FROM pages),
+asked AS (SELECT DISTINCT page_id FROM refs WHERE page_id <> ''),
+found AS (SELECT a.page_id, coalesce(e.page_id, n.page_id) AS found_page FROM asked a LEFT JOIN listed e ON e.page_id = a.page_id LEFT JOIN listed n ON n.page_id = nfc_normalize(a.page_id)),
+resolved AS (SELECT r.*, CASE WHEN r.sentence_id = -1 THEN p.page_text ELSE i.text END AS text,
+    CASE WHEN f.found_page IS NULL THEN 'missing_page' WHEN r.sentence_id = -1 THEN CASE WHEN {norm_sql('p.page_text')} = '' THEN 'empty_resolved_text' ELSE 'resolved' END
+    WHEN i.sentence_id IS NULL THEN 'missing_sentence_id' WHEN {norm_sql('i.text')} = '' THEN 'empty_resolved_text' ELSE 'resolved' END AS status
+  FROM refs r LEFT JOIN found f ON r.page_id = f.page_id LEFT JOIN pages p ON p.page_id = f.found_page LEFT JOIN idx i ON i.page_id = f.found_page AND i.sentence_id = r.sentence_id)"""
+CHOSEN = f"""{STATUS}, sets AS (SELECT record_id, set_pos, bool_and(status = 'resolved') AS whole, count(*) AS n_refs, string_agg(text, ' ' ORDER BY ref_pos) AS premise FROM resolved GROUP BY record_id, set_pos),
+chosen AS (SELECT record_id, set_pos, n_refs, premise FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY set_pos) AS r FROM sets WHERE whole) WHERE r = 1)"""
 
 
 def label_sql(column: str) -> str:
@@ -72,29 +80,50 @@ def wiki_index_dedup(t):
 
 
 @query("JN3", f"""
-WITH {REFS}, asked AS (SELECT DISTINCT page_id FROM refs WHERE page_id IS NOT NULL), pages AS (SELECT DISTINCT page_id FROM sentences WHERE page_id IS NOT NULL),
-low AS (SELECT lower(page_id) AS k, min(page_id) AS page_id FROM pages GROUP BY 1)
-SELECT a.page_id AS asked, coalesce(p.page_id, l.page_id) AS resolved, CASE WHEN p.page_id IS NOT NULL THEN 'exact' WHEN l.page_id IS NOT NULL THEN 'fallback' ELSE 'missing' END AS how
-FROM asked a LEFT JOIN pages p ON a.page_id = p.page_id LEFT JOIN low l ON lower(a.page_id) = l.k""")
+WITH {REFS}, {STATUS} SELECT a.page_id AS asked, f.found_page AS resolved, CASE WHEN f.found_page IS NULL THEN 'missing' WHEN f.found_page = a.page_id THEN 'exact' ELSE 'composed' END AS how FROM asked a JOIN found f ON a.page_id = f.page_id""")
 def resolve_page_fallback(t):
-    asked = _references(t).filter("page_id IS NOT NULL").select(F.col("page_id").alias("asked")).distinct()
-    pages = t("sentences").filter("page_id IS NOT NULL").select("page_id").distinct()
-    low = pages.groupBy(F.lower("page_id").alias("k")).agg(F.min("page_id").alias("folded"))
-    both = asked.join(pages, F.col("asked") == F.col("page_id"), "left").join(low, F.lower("asked") == F.col("k"), "left")
-    how = F.when(F.col("page_id").isNotNull(), "exact").when(F.col("folded").isNotNull(), "fallback").otherwise("missing")
-    return both.select("asked", F.coalesce("page_id", "folded").alias("resolved"), how.alias("how"))
+    asked = _references(t).select("page_id").filter(C.has_evidence(F.col("page_id"))).distinct()
+    found = asked.join(C.resolve_pages(asked, _pages(t).names), "page_id", "left")
+    how = F.when(F.col("found_page").isNull(), "missing").when(F.col("found_page") == F.col("page_id"), "exact").otherwise("composed")
+    return found.select(F.col("page_id").alias("asked"), F.col("found_page").alias("resolved"), how.alias("how"))
+
+
+def _pages(t):
+    return C.Pages(t("sentences"), t("documents"))
 
 
 @query("JN4 SC8", f"WITH {REFS}, {STATUS} SELECT record_id, set_pos, ref_pos, status FROM resolved")
 def resolve_sentence_join(t):
-    return C.resolve_sentences(_references(t), C.sentence_index(t("sentences"))).select("record_id", "set_pos", "ref_pos", "status")
+    return C.resolve_sentences(_references(t), _pages(t)).select("record_id", "set_pos", "ref_pos", "status")
+
+
+# The same references, each of which also cites its page as a whole: no given record does.
+@query("JN4", f"""
+WITH {REFS.replace('sets[s][r].sentence_id AS sentence_id', '-1 AS sentence_id')}, {STATUS} SELECT record_id, set_pos, ref_pos, status, length(text) AS n_chars FROM resolved""")
+def resolve_whole_pages(t):
+    pages = _pages(t)
+    found = C.resolve_sentences(_references(t).withColumn("sentence_id", F.lit(C.WHOLE_PAGE).cast("long")), pages)
+    lengths = pages.texts.select("_at", F.length("text").cast("long").alias("n_chars"))
+    return lookup_join(found, lengths, "_at", "left").select("record_id", "set_pos", "ref_pos", "status", "n_chars")
 
 
-@query("JN5 FN6", f"""
-WITH {REFS}, {STATUS}, sets AS (SELECT record_id, set_pos, bool_and(status = 'resolved') AS whole, count(*) AS n_refs, string_agg(text, ' ' ORDER BY ref_pos) AS premise FROM resolved GROUP BY record_id, set_pos)
-SELECT record_id, set_pos, n_refs, premise FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY set_pos) AS r FROM sets WHERE whole) WHERE r = 1""")
+@query("JN5 FN6", f"WITH {REFS}, {CHOSEN} SELECT record_id, set_pos, n_refs, premise FROM chosen")
 def claim_premise_resolution(t):
-    return C.first_resolved_set(C.resolve_sentences(_references(t), C.sentence_index(t("sentences"))), "record_id")
+    pages = _pages(t)
+    return C.first_resolved_set(C.resolve_sentences(_references(t), pages), pages, "record_id")
+
+
+_LABEL = "upper(trim(original_label, ' '))"
+
+
+@query("JN5 AG4", f"""
+WITH {REFS}, {CHOSEN} SELECT p.record_id, CASE WHEN {_LABEL} = 'NOT ENOUGH INFO' THEN 'no_evidence_annotation' WHEN coalesce({_LABEL} NOT IN ('SUPPORTS', 'REFUTES'), true) THEN 'unknown_label' WHEN c.set_pos IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
+CASE WHEN {_LABEL} IN ('SUPPORTS', 'REFUTES') THEN c.set_pos END AS set_pos FROM pool_records p LEFT JOIN chosen c ON c.record_id = p.record_id""")
+def claim_resolution_status(t):
+    label = F.upper(F.trim("original_label"))
+    chosen = claim_premise_resolution(t).select("record_id", "set_pos")
+    rows = t("pool_records").select("record_id", label.alias("l")).join(chosen, "record_id", "left")
+    return rows.select("record_id", C.resolution_status(F.col("l"), F.col("set_pos")).alias("resolution_status"), F.when(F.col("l").isin(*C.RESOLVABLE), F.col("set_pos")).alias("set_pos"))
 
 
 @query("AG4 AG51", f"""
@@ -105,4 +134,4 @@ def resolution_coverage(t):
 
 @query("AG51", f"WITH {REFS}, {STATUS} SELECT status, count(*) AS n, count(DISTINCT record_id) AS n_records FROM resolved GROUP BY status")
 def resolution_reasons(t):
-    return C.resolve_sentences(_references(t), C.sentence_index(t("sentences"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("n_records"))
+    return C.resolve_sentences(_references(t), _pages(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("n_records"))

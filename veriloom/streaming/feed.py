@@ -16,7 +16,8 @@ from ..operators import decide as D
 def decide_attempts(attempts: DataFrame, policy: D.Policy = D.Policy()) -> DataFrame:
     """(attempt_id, decision, confidence) of attempts with an evidence array; without evidence the decision is to abstain."""
     items = attempts.select("attempt_id", F.explode_outer("evidence").alias("e")).select("attempt_id", "e.entailment_probability", "e.contradiction_probability")
-    decided = D.decide(D.query_aggregates(items, ["attempt_id"], policy), policy)
+    scored = F.col("entailment_probability").isNotNull() & F.col("contradiction_probability").isNotNull()
+    decided = D.decide(D.query_aggregates(items, ["attempt_id"], policy, scored), policy)
     return decided.select("attempt_id", "decision", "confidence")
 
 
