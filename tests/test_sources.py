@@ -13,9 +13,42 @@ def test_json_forms(spark, tmp_path):
     lines.write_text('{"a":1,"b":"x"}\n\n{"a":2}\nbroken\n')
     array.write_text(json.dumps([{"a": 1}, {"a": 2, "b": "y"}], indent=1))
     got, bad = tables.sniff_json(spark, str(lines), SCHEMA)
-    assert bad == 1 and sorted(r["a"] for r in got.collect()) == [1, 2]
+    assert [r["line"] for r in bad.collect()] == ["broken"] and sorted(r["a"] for r in got.collect()) == [1, 2]
     got, bad = tables.sniff_json(spark, str(array), SCHEMA)
-    assert bad == 0 and sorted(r["a"] for r in got.collect()) == [1, 2]
+    assert bad.count() == 0 and sorted(r["a"] for r in got.collect()) == [1, 2]
+    one, many = tmp_path / "o.json", tmp_path / "m.json"
+    one.write_text('\n{\n "a": 7,\n "b": "z"\n}\n')
+    many.write_text('{"a":3}\n{"a":4}\n[5]\n{"a":6}\n')
+    empty = tmp_path / "e.json"
+    empty.write_text("\n \n")
+    got, bad = tables.sniff_json(spark, [str(p) for p in (array, one, many, empty)], SCHEMA)
+    assert sorted(r["a"] for r in got.collect()) == [1, 2, 3, 4, 6, 7] and [r["line"] for r in bad.collect()] == ["[5]"]
+
+
+def test_configuration(tmp_path, monkeypatch):
+    import pytest
+
+    from veriloom import config
+
+    text = "a: 1\nb:\n  c: 'x'  \n  d: [1, two]\n  e:\n    - 1.5\n    - true\nf: null # none\n"
+    (tmp_path / "c.yaml").write_text(text)
+    want = {"a": 1, "b": {"c": "x", "d": [1, "two"], "e": [1.5, True]}, "f": None}
+    assert config.load(tmp_path / "c.yaml", ("b.c",)) == want == config.read_plain_yaml(text)
+    monkeypatch.setattr(config, "yaml", None)
+    assert config.load(tmp_path / "c.yaml") == want and config.load(config.DEFAULT, ("retrieval.top_k",))["split"] == {"dev_share": 0.1}
+    (tmp_path / "l.yaml").write_text("- 1\n- 2\n")
+    for name, required in (("l.yaml", ()), ("c.yaml", ("b.missing",))):
+        with pytest.raises(config.ConfigError):
+            config.load(tmp_path / name, required)
+
+
+def test_code_state():
+    from pathlib import Path
+
+    from veriloom.sources import tables
+
+    assert set(tables.code_state(str(Path(__file__).parent))) == {"commit", "branch", "changed"}
+    assert tables.code_state("/") == {"commit": None, "branch": None, "changed": None}
 
 
 def test_many_files_skip_hidden_ones(spark, tmp_path):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
+
 
 class IndexMismatch(ValueError):
     """Vectors, records and manifest do not belong together."""
@@ -34,7 +36,27 @@ def load(spark: SparkSession, path: str, model: str | None = None, records: Data
     return vectors
 
 
+def validate(vectors: DataFrame, records: DataFrame, dimension: int) -> DataFrame:
+    """One row: how many more vectors than records, vectors of another dimension, double ids, blank texts, ids without a record or a vector."""
+    own = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("vector") != dimension).alias("n_other_dimension"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("n_double_ids"))
+    other = records.agg(F.count(F.lit(1)).alias("m"), F.count_if(is_blank(F.col("text"))).alias("n_blank"))
+    # Both sides once over: how often an id stands on each.
+    sides = vectors.select("id", F.lit(1).alias("v"), F.lit(0).alias("r")).unionAll(records.select("id", F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("v").alias("v"), F.sum("r").alias("r"))
+    alone = sides.agg(F.coalesce(F.sum(F.when(F.col("r") == 0, F.col("v"))), F.lit(0)).alias("n_without_record"), F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("r"))), F.lit(0)).alias("n_without_vector"))
+    every = own.join(F.broadcast(other)).join(F.broadcast(alone))
+    return every.select((F.col("n") - F.col("m")).alias("count_difference"), "n_other_dimension", "n_double_ids", "n_blank", "n_without_record", "n_without_vector")
+
+
+def apart(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows of ``a``, and how many rows each table holds more often than the other (by digest, so no wide row is shuffled)."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(a.columns)), {"ignoreNullFields": "false"}), 256)
+    side = lambda df, x, y: df.select(digest.alias("d"), F.lit(x).alias("a"), F.lit(y).alias("b"))
+    per = side(a, 1, 0).unionAll(side(b, 0, 1)).groupBy("d").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    more = lambda x, y: F.coalesce(F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0))), F.lit(0)).cast("long")
+    return per.agg(F.coalesce(F.sum("a"), F.lit(0)).cast("long").alias("n"), more("a", "b").alias("n_only_first"), more("b", "a").alias("n_only_second"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows equally often."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    found = apart(a, b.select(*a.columns)).first()
+    return not found["n_only_first"] and not found["n_only_second"]
