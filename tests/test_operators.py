@@ -184,7 +184,7 @@ def test_top_k_against_brute_force(spark):
     x = rng.standard_normal((300, 8)).astype(np.float32)
     x[7] = x[8]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
-    got = retrieval.top_k(df.repartition(5), df.filter("id % 20 = 0"), 7, block=4).collect()
+    got = retrieval.top_k(df.repartition(5), df.filter("id % 20 = 0"), 7, block_bytes=200).collect()
     for q in range(0, 300, 20):
         s = x.astype(np.float64) @ x[q].astype(np.float64)
         want = [i for i in sorted(range(300), key=lambda i: (-s[i], i)) if i != q][:7]
@@ -271,7 +271,47 @@ def test_wiki_lines(spark):
 
     texts = [(1, "wiki_page", "0\tFirst .\tlink\tlink\n\n 12 \tSecond\n3\nx\tThird\n1.0\tFourth\n-1_0\t\n \n99999999999999999999\tBig"), (2, "data_record", "plain"), (3, "dialogue", None)]
     docs = spark.createDataFrame(texts, "doc_id long, doc_kind string, text string")
-    lines = {(r["doc_id"], r["line_no"]): (r["sentence_id"], r["sentence"], r["malformed"]) for r in text_queries.wiki_lines(lambda name: docs).collect()}
+    lines = {(r["doc_id"], r["line_no"]): (r["sentence_id"], r["sentence"], r["malformed"]) for r in text_queries.wiki_line_explode(lambda name: docs).collect()}
     bad = (None, None, True)
     assert lines == {(1, 0): (0, "First .", False), (1, 2): (12, "Second", False), (1, 3): bad, (1, 4): bad, (1, 5): bad, (1, 6): (-10, "", False), (1, 7): bad, (1, 8): bad, (2, 0): bad}
     assert sorted(one(text_queries.wiki_line_counts(lambda name: docs))) == [(1, 8, 3, 5), (2, 1, 0, 1)]
+
+
+def test_models_are_checked_when_loaded():
+    assert scorers.verified(scorers.hashed_embedder, 64)()(["a b"]).shape == (1, 64)
+    for make, dimensions in ((scorers.hashed_embedder, 32), (lambda: lambda texts: np.full((len(texts), 8), np.nan), 8), (lambda: lambda texts: np.zeros((len(texts), 8), int), 8), (lambda: lambda texts: np.random.default_rng().random((len(texts), 8)), 8)):
+        with pytest.raises(scorers.ModelMismatch):
+            scorers.verified(make, dimensions)()
+
+
+def test_unknown_modes_are_refused():
+    from veriloom.plans import loop_queries
+
+    with pytest.raises(loop_queries.UnknownMode):
+        loop_queries.in_mode("nearest")
+
+
+def test_numeric_functions(spark):
+    from veriloom.functions import numeric
+
+    df = spark.createDataFrame([([1.0, 800.0], [1.0, 800.0]), ([1.0, 2.0], [1.0, 2.1]), ([1.0], [1.0, 2.0]), ([float("nan")], [1.0])], "a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    assert [r[0] for r in df.select(numeric.allclose(a, b, 1e-3)).collect()] == [True, False, False, False]
+    row = df.limit(1).select(numeric.softmax_of_two(a[0], a[1]), numeric.log_softmax(a), numeric.sigmoid(F.lit(0.0))).first()
+    assert row[0] == 0.0 and row[1] == [-799.0, 0.0] and row[2] == 0.5
+
+
+def test_searches_in_several_blocks_of_queries(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rnd.integers(-2, 3, 4)]) for i in range(300)]
+    e = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    want = {}
+    for q, v in rows[::7]:
+        ranked = sorted((-float(np.dot(v, w)), c) for c, w in rows if c != q)[:6]
+        want[q] = [c for _, c in ranked]
+    for block in (1 << 20, 300):
+        got = {}
+        for r in sorted(retrieval.top_k(e, e.filter("id % 7 = 0"), 6, block).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["q"], []).append(r["c"])
+        assert got == want
+    assert retrieval.top_k(e, e.limit(0), 3).count() == 0

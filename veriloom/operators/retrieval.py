@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from .shape import first_wins
 
-#: Query vectors held against the corpus at once; they are broadcast (4096 x 1024 float64 = 32 MB).
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are held against the corpus at once; so much is broadcast.
+QUERY_BYTES = 16 << 20
 
 
-def corpus(sentences: DataFrame) -> DataFrame:
+def corpus(sentences: DataFrame, *more: str) -> DataFrame:
     """One record for each sentence of the index that is not blank; the first delivered row of a key wins."""
-    index = first_wins(sentences.select("page_id", "sentence_id", "row_id", "text", "corpus_version"), ["page_id", "sentence_id"], "row_id")
-    kept = index.filter(F.col("page_id").isNotNull() & F.col("sentence_id").isNotNull() & ~is_blank(F.col("text")))
-    return kept.select(corpus_id(F.col("page_id"), F.col("sentence_id")).alias("corpus_id"), "page_id", "sentence_id", "text", "corpus_version")
+    named = sentences.filter("page_id IS NOT NULL AND sentence_id IS NOT NULL")
+    index = first_wins(named.select("page_id", "sentence_id", "row_id", "text", "corpus_version"), ["page_id", "sentence_id"], "row_id")
+    kept = index.filter(~is_blank(F.col("text")))
+    return kept.select(corpus_id(F.col("page_id"), F.col("sentence_id")).alias("corpus_id"), "page_id", "sentence_id", "text", "corpus_version", *more)
 
 
 def corpus_id(page_id: Column, sentence_id: Column) -> Column:
@@ -35,18 +36,36 @@ def l2_norm(v: Column) -> Column:
     return F.sqrt(inner_product(v, v))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+class _Best:
+    """The k best candidates of each query so far: by score, then by the smaller id."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, row: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
+        row, score, id_ = np.concatenate((self.row, row)), np.concatenate((self.score, score)), np.concatenate((self.id, id_))
+        order = np.lexsort((id_, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[place < self.k]
+        self.row, self.score, self.id = row[place < self.k], score[kept], id_[kept]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """(q, c, score, rank): exact inner-product neighbours of each query among all other vectors.
 
-    ``vectors`` and ``queries`` are (id, vector). Query blocks are broadcast and each
-    Arrow batch of the corpus is one matrix product; a batch passes on at most k
-    candidates of a query, and a window merges them. Ties go to the smaller id.
+    ``vectors`` and ``queries`` are (id, vector). A block of queries is broadcast; its size
+    is bounded in bytes, so few blocks, as a rule one, mean few scans of the vectors. Each
+    task multiplies its batches with the block, keeps the k best of every query while it
+    goes, and passes on only those at its end; a window merges the tasks' results. Ties go
+    to the smaller id.
     """
     spark = vectors.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // block))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("d")).first()
+    blocks = max(1, -(-size["n"] * size["d"] * 8 // block_bytes))
     parts = None
-    for number in range(blocks):
+    for number in range(blocks if size["n"] else 0):
         rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).collect()
         if not rows:
             continue
@@ -54,19 +73,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLO
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            best = _Best(k)
             for batch in batches:
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 if not len(own):
                     continue
-                flat = batch.column(1)
-                values = np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), -1)
-                scores = matrix @ values.T
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                n = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
-                picked = np.take_along_axis(scores, order, axis=1)
-                real = np.isfinite(picked)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[real.ravel()]), pa.array(own[order].ravel()[real.ravel()]), pa.array(picked.ravel()[real.ravel()])], names=["q", "c", "score"])
+                values = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), -1)
+                found = []
+                for at in range(0, len(ids), 1024):  # bounds the matrix of scores
+                    scores = matrix[at : at + 1024] @ values.T
+                    scores[ids[at : at + 1024, None] == own[None, :]] = -np.inf
+                    hit = np.isfinite(scores)
+                    if len(own) > k:
+                        hit &= scores >= np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None]
+                    r, c = np.nonzero(hit)
+                    found.append((r + at, scores[r, c], own[c]))
+                best.add(*(np.concatenate(x) for x in zip(*found)))
+            for at in range(0, len(best.row), 1 << 20):
+                part = slice(at, at + (1 << 20))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.row[part]]), pa.array(best.id[part]), pa.array(best.score[part])], names=["q", "c", "score"])
 
         part = vectors.select("id", "vector").mapInArrow(run, "q long, c long, score double")
         parts = part if parts is None else parts.unionAll(part)

@@ -8,6 +8,7 @@ stand-ins below give reproducible values of the same shape.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,20 +21,41 @@ PairScorer = Callable[[list[str], list[str]], np.ndarray]
 PAIR = "entailment_probability double, contradiction_probability double, verifier_label string"
 
 
-def hashed_embedder(dimensions: int = 64) -> Embedder:
-    """Normalised bag of hashed words."""
+def hashed_embedder(dimensions: int = 64, normalize: bool = True) -> Embedder:
+    """Bag of hashed words: the digest of a word names its place (first four hexadecimal digits) and its sign (the fifth)."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions), np.float32)
         for row, text in zip(out, texts):
             for word in (text or "").lower().split():
-                h = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                row[int.from_bytes(h[:4], "little") % dimensions] += 1 if h[4] & 1 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+                h = hashlib.md5(word.encode("utf-8", "replace")).hexdigest()
+                row[int(h[:4], 16) % dimensions] += 1 if h[4] < "8" else -1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if normalize else out
 
     return embed
 
 
+class ModelMismatch(ValueError):
+    """A loaded model does not give what it should."""
+
+
+def verified(make: Callable[[], Embedder], dimensions: int, probes: tuple[str, ...] = ("a probe", "")) -> Callable[[], Embedder]:
+    """A factory that loads the model once in a worker and checks, before its first use, the shape, type and finiteness of what it gives for the probes."""
+
+    def load() -> Embedder:
+        model = make()
+        got = np.asarray(model(list(probes)))
+        if got.shape != (len(probes), dimensions):
+            raise ModelMismatch(f"shape {got.shape} instead of {(len(probes), dimensions)}")
+        if not np.issubdtype(got.dtype, np.floating) or not np.isfinite(got).all():
+            raise ModelMismatch(f"values of type {got.dtype} that are no finite numbers")
+        if not np.array_equal(got, np.asarray(model(list(probes)))):
+            raise ModelMismatch("two calls differ")
+        return model
+
+    return load
+
+
 def overlap_scorer(premises: list[str], hypotheses: list[str]) -> np.ndarray:
     """Logits (entailment, contradiction) from the share of hypothesis words in the premise."""
     out = np.zeros((len(premises), 2))
@@ -69,6 +91,16 @@ def pair_column(premise: Column, hypothesis: Column, scorer: PairScorer = overla
     return score(premise, hypothesis)
 
 
+def relevance_column(query: Column, text: Column, scorer: PairScorer = overlap_scorer) -> Column:
+    """One score in (0, 1) for each pair: the activation of the scorer's first logit."""
+
+    @F.pandas_udf("double")
+    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(1 / (1 + np.exp(-scorer(texts.tolist(), queries.tolist())[:, 0])), index=queries.index)
+
+    return score(query, text)
+
+
 def embed_with_failures(df: DataFrame, key: str, text: str, make: Callable[[], Embedder] = hashed_embedder) -> DataFrame:
     """(key, vector, error): batches that fail are tried item by item, and what still fails or is not finite is recorded."""
 
@@ -104,6 +136,29 @@ def chat_prompt(question: str, instruction: str | None = None, turn: str = "{rol
     return "".join(turn.format(role=r, text=t) for r, t in turns if t) + turn.format(role="assistant", text="").rstrip()
 
 
+def chat_prompt_column(question: Column, instruction: Column) -> Column:
+    """The same as ``chat_prompt`` in its default form, as an expression; missing turns are left out."""
+    turn = lambda role, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{role}: "), c, F.lit("\n"))).otherwise("")
+    return F.concat(turn("system", instruction), turn("user", question), F.lit("assistant:"))
+
+
+def first_words(n: int = 12) -> Generator:
+    """Stand-in for a generator: the first words of the last user turn."""
+
+    def answer(prompt: str) -> str:
+        said = prompt.rpartition("user: ")[2].rpartition("\nassistant:")[0]
+        return " ".join(said.split()[:n])
+
+    return answer
+
+
+def shared_word_scores(question: str, choice: str) -> list[float]:
+    """Stand-in for a model's token log-probabilities: the log-softmax of 1 against -1 for words of the question, of -1 against 1 for others."""
+    known = set((question or "").lower().split())
+    rest = math.log(math.exp(1.0) + math.exp(-1.0))
+    return [(1.0 if w in known else -1.0) - rest for w in (choice or "").lower().split()]
+
+
 def generate(df: DataFrame, key: str, prompt: str, make: Callable[[], Generator]) -> DataFrame:
     """(key, generated_text, counts, latency, error): one text for each prompt; a failure becomes a row, never a lost one."""
 

@@ -21,6 +21,11 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def one_key(*columns: str) -> Column:
+    """Several columns as one text in which null equals null only."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group; Spark limits the groups before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import nested
-from . import decision_queries, leakage_queries, loop_queries, metric_queries, pair_queries, quality_queries, retrieval_queries, shape_queries, source_queries, text_queries  # noqa: F401  (registers)
+from . import decision_queries, leakage_queries, loop_queries, metric_queries, pair_queries, quality_queries, report_queries, retrieval_queries, scorer_queries, shape_queries, source_queries, text_queries  # noqa: F401  (registers)
 from .registry import REGISTRY, Query, query
 
 

@@ -65,7 +65,7 @@ VERIFIED = f"""{RERANKED}, verified AS (SELECT *, 1 - ent AS con FROM (SELECT *,
 decided AS (SELECT q, arg_max(c, {{'p': ent, 'r': -reranked_rank}}) AS best, max(ent) AS max_ent, max(con) AS max_con FROM verified GROUP BY q)"""
 
 
-@query("IT3 WN4 UD3", f"WITH {VERIFIED} SELECT q, best, round(max_ent, 6) AS max_ent, {_decision_sql('max_ent', 'max_con', '0.7', '0.7')} AS decision FROM decided")
+@query("WN4", f"WITH {VERIFIED} SELECT q, best, round(max_ent, 6) AS max_ent, {_decision_sql('max_ent', 'max_con', '0.7', '0.7')} AS decision FROM decided")
 def verify_pipeline(t):
     policy = D.Policy(0.7, 0.7)
     v = verified(t)
@@ -126,7 +126,7 @@ def margin_split(t):
     return m.join(F.broadcast(md)).groupBy(F.when(F.col("margin") >= F.col("x"), "high").otherwise("low").alias("half")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("max_ent"), 6).alias("mean_ent"))
 
 
-@query("AG32 AG44", f"""
+@query("AG32", f"""
 WITH {EV}, o AS (SELECT ent, row_number() OVER (ORDER BY ent) - 1 AS i, count(*) OVER () AS n FROM ev)
 SELECT count(*) AS n, round(avg(ent), 6) AS mean, round(median(ent), 6) AS median, round(coalesce(stddev_samp(ent), 0), 6) AS stdev, round(min(CASE WHEN i = CAST(floor(n * 0.1) AS BIGINT) THEN ent END), 6) AS p10, round(min(CASE WHEN i = CAST(floor(n * 0.9) AS BIGINT) THEN ent END), 6) AS p90,
 round(min(ent), 6) AS low, round(max(ent), 6) AS high, round(avg(CASE WHEN ent >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_above FROM o""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import leakage as L
 from ..operators import shape as S
+from ..operators.skew import pair_join
 from .registry import query
 from .shape_queries import label_sql
 from .text_queries import norm_sql
@@ -41,8 +42,17 @@ def contamination_sweep(t):
 SELECT a.norm, a.record_id, b.example_id FROM (SELECT {norm_sql('hypothesis')} AS norm, record_id FROM pool_records WHERE split <> 'train') a JOIN (SELECT {norm_sql('hypothesis')} AS norm, example_id FROM verifier_examples) b ON a.norm = b.norm WHERE a.norm <> ''""")
 def contamination_audit(t):
     norm = T.normalize_text(F.col("hypothesis")).alias("norm")
-    a = t("pool_records").filter("split <> 'train'").select(norm, "record_id")
-    return a.join(t("verifier_examples").select(norm, "example_id"), "norm").filter("norm <> ''").select("norm", "record_id", "example_id")
+    a = t("pool_records").filter("split <> 'train'").select(norm, "record_id").filter("norm <> ''")
+    return pair_join(a, t("verifier_examples").select(norm, "example_id").filter("norm <> ''"), "norm").select("norm", "record_id", "example_id")
+
+
+@query("JN6", f"""
+WITH a AS (SELECT {norm_sql('hypothesis')} AS norm, count(*) AS n_pool FROM pool_records WHERE split <> 'train' GROUP BY 1), b AS (SELECT {norm_sql('hypothesis')} AS norm, count(*) AS n_examples FROM verifier_examples GROUP BY 1)
+SELECT md5(a.norm) AS class, n_pool, n_examples FROM a JOIN b ON a.norm = b.norm WHERE a.norm <> ''""")
+def contamination_classes(t):
+    """The shared texts by digest with their number of rows on either side: what an audit needs where a text is repeated too often to list its pairs."""
+    n = lambda df, name: df.select(F.md5(T.normalize_text(F.col("hypothesis")).cast("binary")).alias("class"), T.normalize_text(F.col("hypothesis")).alias("norm")).filter("norm <> ''").groupBy("class").agg(F.count(F.lit(1)).alias(name))
+    return n(t("pool_records").filter("split <> 'train'"), "n_pool").join(n(t("verifier_examples"), "n_examples"), "class")
 
 
 @query("JN7 JN8 VA12", f"""
@@ -54,20 +64,20 @@ def contamination_exclude(t):
     return kept.select("record_id", F.lit(False).alias("excluded")).unionAll(aside.select("record_id", F.lit(True).alias("excluded")))
 
 
-@query("AG3 AG12", f"SELECT g, count(DISTINCT split) AS n_splits, count(*) AS n FROM (SELECT {GROUP} AS g, split FROM pool_records) GROUP BY g HAVING count(DISTINCT split) > 1")
+@query("AG12", f"SELECT g, count(DISTINCT split) AS n_splits, count(*) AS n FROM (SELECT {GROUP} AS g, split FROM pool_records) GROUP BY g HAVING count(DISTINCT split) > 1")
 def split_leakage(t):
     rows = t("pool_records").select(_group().alias("g"), "split")
     return rows.groupBy("g").agg(F.count_distinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n")).filter("n_splits > 1")
 
 
-@query("ST3 JN14", "SELECT 'sentences' AS only_in, page_id FROM (SELECT page_id FROM sentences WHERE page_id IS NOT NULL EXCEPT SELECT page_id FROM documents) UNION ALL SELECT 'documents', page_id FROM (SELECT page_id FROM documents WHERE page_id IS NOT NULL EXCEPT SELECT page_id FROM sentences)")
+@query("ST3", "SELECT 'sentences' AS only_in, page_id FROM (SELECT page_id FROM sentences WHERE page_id IS NOT NULL EXCEPT SELECT page_id FROM documents) UNION ALL SELECT 'documents', page_id FROM (SELECT page_id FROM documents WHERE page_id IS NOT NULL EXCEPT SELECT page_id FROM sentences)")
 def set_difference(t):
     a, b = (t(n).filter("page_id IS NOT NULL").select("page_id").distinct() for n in ("sentences", "documents"))
     only = lambda x, y, name: x.join(y, "page_id", "left_anti").select(F.lit(name).alias("only_in"), "page_id")
     return only(a, b, "sentences").unionAll(only(b, a, "documents"))
 
 
-@query("PR10 PR11 ST1", f"""
+@query("PR10 ST1", f"""
 SELECT record_id, hypothesis, 'fever' AS origin, {label_sql('label')} AS clean_label FROM pool_records WHERE source_dataset = 'fever' AND premise_text IS NOT NULL AND {label_sql('label')} IN ('entailment', 'contradiction')
 UNION ALL SELECT record_id, hypothesis, 'halueval', {label_sql('label')} FROM pool_records WHERE source_dataset = 'halueval' AND hypothesis IS NOT NULL""")
 def pool_build(t):
@@ -101,14 +111,13 @@ def pool_validate(t):
     return one.select(F.inline("m")).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
-@query("PR12 PR15", f"SELECT count(CASE WHEN {label_sql('label')} NOT IN ('entailment', 'contradiction') THEN 1 END) AS n_not_binary, count(CASE WHEN premise IS NULL THEN 1 END) AS n_no_premise, count(*) AS n FROM verifier_examples")
+@query("AG13", f"SELECT count(CASE WHEN {label_sql('label')} NOT IN ('entailment', 'contradiction') THEN 1 END) AS n_not_binary, count(CASE WHEN premise IS NULL THEN 1 END) AS n_no_premise, count(*) AS n FROM verifier_examples")
 def safety_guard_violations(t):
     return t("verifier_examples").agg(F.count_if(~T.clean_label(F.col("label")).isin("entailment", "contradiction")).alias("n_not_binary"), F.count_if(F.col("premise").isNull()).alias("n_no_premise"), F.count(F.lit(1)).alias("n"))
 
 
-@query("PR9 VA13", "SELECT source_dataset, split, count(*) AS n FROM pool_records GROUP BY ALL")
+@query("AG6", "SELECT source_dataset, split, count(*) AS n FROM pool_records GROUP BY ALL")
 def role_boundary_counts(t):
-    L.require_roles({"fever", "halueval"}, {"fever", "halueval"})
     return t("pool_records").groupBy("source_dataset", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,7 +159,7 @@ def label_distribution(t):
 _TABLES = {"sentences": "row_id", "pool_records": "record_id", "verifier_examples": "example_id", "documents": "doc_id", "eval_items": "item_id"}
 
 
-@query("AG49 SK3", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n, count(DISTINCT {k}) AS n_keys, min({k}) AS first_key, max({k}) AS last_key FROM {n}" for n, k in _TABLES.items()))
+@query("AG49", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n, count(DISTINCT {k}) AS n_keys, min({k}) AS first_key, max({k}) AS last_key FROM {n}" for n, k in _TABLES.items()))
 def dataset_manifest(t):
     out = None
     for n, k in _TABLES.items():

@@ -51,7 +51,7 @@ def _loop_sql(corrections: int) -> str:
     return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(ends)
 
 
-@query("IT1 IT2 PR20 PR26 UD4", _loop_sql(2))
+@query("IT1 IT2 PR20", _loop_sql(2))
 def correction_loop(t):
     return _loop(t, 2)
 
@@ -62,13 +62,24 @@ def conditions_compare(t):
     return both.groupBy("condition", "final_decision", "termination_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+class UnknownMode(ValueError):
+    """No such way to choose evidence."""
+
+
+def in_mode(name: str):
+    """Which candidates a mode keeps, as SQL; raises for a mode that does not exist."""
+    if name not in _MODES:
+        raise UnknownMode(f"{name!r} is none of {', '.join(_MODES)}")
+    return _MODES[name]
+
+
 _MODES = {"reranked": "reranked_rank <= 5", "no_reranker": "rank <= 5", "top1": "rank = 1"}
 
 
 @query("PR28 PR29 IT8", f"WITH {RERANKED}, ver AS (SELECT *, {P_ENT} AS ent FROM reranked) " + " UNION ALL ".join(f"SELECT '{m}' AS mode, {_decision_sql('e', 'c', '0.7', '0.7')} AS decision, count(*) AS n FROM (SELECT q, max(ent) AS e, max(1 - ent) AS c FROM ver WHERE {w} GROUP BY q) GROUP BY 2" for m, w in _MODES.items()))
-def evidence_modes(t):
+def evidence_modes(t, modes=tuple(_MODES)):
     found = _probabilities(reranked(t))
-    chosen = F.explode(F.array_compact(F.array(*[F.when(F.expr(w), F.lit(m)) for m, w in _MODES.items()])))
+    chosen = F.explode(F.array_compact(F.array(*[F.when(F.expr(in_mode(m)), F.lit(m)) for m in modes])))
     agg = D.decide(D.query_aggregates(found.withColumn("mode", chosen), ["mode", "q"], POLICY), POLICY)
     return agg.groupBy("mode", "decision").agg(F.count(F.lit(1)).alias("n"))
 

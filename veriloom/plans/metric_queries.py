@@ -21,9 +21,9 @@ def known(t):
     return t("rag_error_analysis").filter(KNOWN)
 
 
-def stages(t):
+def stages(t, by: str = "task_type"):
     both = F.array(F.struct(F.lit("first").alias("stage"), (F.col("attempt0_mapped_decision") != "ACCEPT").alias("flagged")), F.struct(F.lit("final").alias("stage"), (F.col("final_decision") != "ACCEPT").alias("flagged")))
-    return known(t).select("task_type", F.col("gold_has_hallucination").alias("gold"), F.inline(both))
+    return known(t).select(by, F.col("gold_has_hallucination").alias("gold"), F.inline(both))
 
 
 @query("AG19 AG20 PR21", f"WITH {STAGES}, c AS ({CONF.format(keys='stage')}) SELECT stage, tp, fp, fn, tn, {DETECT}")
@@ -31,7 +31,7 @@ def detection_metrics(t):
     return M.detection(stages(t).groupBy("stage").agg(*M.confusion(F.col("gold"), F.col("flagged"))))
 
 
-@query("AG45 AG46 PR16", f"WITH {STAGES}, c AS ({CONF.format(keys='stage, task_type')}) SELECT stage, task_type, tp, fp, fn, tn, CASE WHEN tp + fp + fn + tn < 30 THEN 'small sample' END AS note, {DETECT}")
+@query("AG45", f"WITH {STAGES}, c AS ({CONF.format(keys='stage, task_type')}) SELECT stage, task_type, tp, fp, fn, tn, CASE WHEN tp + fp + fn + tn < 30 THEN 'small sample' END AS note, {DETECT}")
 def breakdown_by_key(t):
     per = stages(t).groupBy("stage", "task_type").agg(*M.confusion(F.col("gold"), F.col("flagged")))
     return M.detection(per.withColumn("note", F.when(F.expr("tp + fp + fn + tn") < 30, "small sample")))
@@ -45,12 +45,12 @@ n AS (SELECT {k}label, count(CASE WHEN t = label THEN 1 END) AS support, count(C
 SELECT {k}label, support, n_predicted, n_correct, round(coalesce(n_correct / nullif(CAST(n_predicted AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(n_correct / nullif(CAST(support AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2 * n_correct / nullif(CAST(n_predicted + support AS DOUBLE), 0), 0), 6) AS f1 FROM n"""
 
 
-@query("AG21 AG54", _report_sql(""))
+@query("AG21", _report_sql(""))
 def classification_report(t):
     return M.report(known(t), "attempt0_mapped_decision", "final_decision")
 
 
-@query("AG22 PR16", _report_sql("task_type"))
+@query("AG22", _report_sql("task_type"))
 def metrics_by_group(t):
     return M.report(known(t), "attempt0_mapped_decision", "final_decision", ["task_type"])
 
@@ -95,7 +95,7 @@ def evidence_movement(t):
     return f.join(nxt, ["run_id", "attempt_number"]).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(changed).alias("n_changed"), F.round(S.ratio(F.count_if(changed), F.count(F.lit(1))), 6).alias("rate"))
 
 
-@query("AG26 AG27 AG28 IT9 FN16 UD5", f"""
+@query("AG26 AG27 AG28", f"""
 WITH {EV}, c AS (SELECT attempt_id, pos, ln(ent) AS ll, orank <= 5 AS good FROM ev WHERE ent > 0 AND orank IS NOT NULL), m AS (SELECT *, exp(ll - max(ll) OVER (PARTITION BY attempt_id)) AS w FROM c),
 s AS (SELECT attempt_id, arg_max(good, {{'l': ll, 'p': -pos}}) AS best, sum(CASE WHEN good THEN w ELSE 0 END) / sum(w) AS mass FROM m GROUP BY attempt_id)
 SELECT count(*) AS n, round(avg(CASE WHEN best THEN 1.0 ELSE 0.0 END), 6) AS top_right, round(avg(mass), 6) AS mean_mass FROM s""")
@@ -140,7 +140,7 @@ def cross_run_match(t):
     return d.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("x").eqNullSafe(F.col("y"))).alias("n_same"))
 
 
-@query("AG50 SK4", f"""
+@query("AG50", f"""
 SELECT model, count(*) AS n, round(avg(CASE WHEN gold_has_hallucination THEN 1.0 ELSE 0.0 END), 6) AS prevalence, round(1 - avg(CASE WHEN gold_has_hallucination THEN 1.0 ELSE 0.0 END), 6) AS majority_accuracy,
 round(avg(CASE WHEN (attempt0_mapped_decision <> 'ACCEPT') = gold_has_hallucination THEN 1.0 ELSE 0.0 END), 6) AS first_accuracy, round(avg(CASE WHEN (final_decision <> 'ACCEPT') = gold_has_hallucination THEN 1.0 ELSE 0.0 END), 6) AS final_accuracy FROM rag_error_analysis WHERE {KNOWN} GROUP BY model""")
 def final_summary(t):

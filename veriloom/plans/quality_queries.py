@@ -31,7 +31,7 @@ def validate_claims(t):
     })
 
 
-@query("VA2", _rules_sql("generation_results", "generation_id", {
+@query("AG13", _rules_sql("generation_results", "generation_id", {
     "empty_response": f"{norm_sql('generated_text')} = ''", "missing_context": "system_instruction IS NULL", "missing_prompt": f"{norm_sql('user_input')} = ''",
     "config_not_json": "generation_config IS NULL OR NOT json_valid(generation_config)", "late_row": "ingested_at > created_at + INTERVAL 1 DAY",
 }))
@@ -42,34 +42,23 @@ def validate_pairs(t):
     })
 
 
-# The first three words only, as its SQL; validate_all_spans checks the whole text.
-@query("", """
-WITH spans AS (SELECT g.generation_id, g.generated_text AS body, w AS span, strpos(g.generated_text, w) - 1 AS start FROM (SELECT generation_id, generated_text, unnest(string_split(generated_text, ' ')[1:3]) AS w FROM generation_results WHERE generated_text IS NOT NULL) g WHERE w <> '')
-SELECT generation_id, count(*) AS n_spans, count(CASE WHEN substring(body, CAST(start + 1 AS BIGINT), length(span)) = span THEN 1 END) AS n_match, count(CASE WHEN start < 0 OR start + length(span) > length(body) THEN 1 END) AS n_out_of_bounds FROM spans GROUP BY generation_id""")
-def validate_spans(t):
-    words = t("generation_results").filter("generated_text IS NOT NULL").select("generation_id", F.col("generated_text").alias("body"), F.explode(F.slice(F.split("generated_text", " "), 1, 3)).alias("span")).filter("span <> ''")
-    start = F.expr("instr(body, span) - 1")
-    spans = words.withColumn("start", start).withColumn("cut", F.expr("substring(body, start + 1, length(span))"))
-    return spans.groupBy("generation_id").agg(F.count(F.lit(1)).alias("n_spans"), F.count_if(F.col("cut") == F.col("span")).alias("n_match"), F.count_if((F.col("start") < 0) | (F.col("start") + F.length("span") > F.length("body"))).alias("n_out_of_bounds"))
-
-
-@query("VA3 VA4 AG14 AG15", """
+@query("VA3 AG15", """
 WITH r AS (SELECT row_number() OVER () AS r, generation_id, generated_text AS body FROM generation_results),
 w AS (SELECT r, unnest(string_split(body, ' ')) AS span, unnest(range(1, len(string_split(body, ' ')) + 1)) AS i FROM r WHERE body IS NOT NULL),
 s AS (SELECT r, span, sum(length(span) + 1) OVER (PARTITION BY r ORDER BY i) - length(span) - 1 AS start FROM w),
 c AS (SELECT r.r, generation_id, body, count(CASE WHEN span <> '' THEN 1 END) AS n, count(CASE WHEN span <> '' AND start + length(span) <= length(body) AND substring(body, CAST(start + 1 AS BIGINT), length(span)) = span THEN 1 END) AS m, count(CASE WHEN span <> '' AND start + length(span) > length(body) THEN 1 END) AS o FROM r LEFT JOIN s ON s.r = r.r GROUP BY ALL)
 SELECT generation_id, CAST(n AS INTEGER) AS n_spans, CAST(m AS INTEGER) AS n_match, CAST(n - m - o AS INTEGER) AS n_mismatch, CAST(o AS INTEGER) AS n_out_of_bounds, coalesce(body, '') = '' AS empty_text FROM c""")
-def validate_all_spans(t):
+def validate_spans(t):
     rows = t("generation_results").select("generation_id", F.col("generated_text").alias("body"), T.word_spans(F.col("generated_text")).alias("spans"))
     found = rows.select("generation_id", "body", F.coalesce(Q.span_statuses(F.col("body"), F.col("spans")), F.array().cast("array<string>")).alias("s"))
     n = lambda status: F.size(F.filter("s", lambda x: x == status))
     return found.select("generation_id", F.size("s").alias("n_spans"), n("match").alias("n_match"), n("offset_text_mismatch").alias("n_mismatch"), n("offset_out_of_bounds").alias("n_out_of_bounds"), (F.coalesce("body", F.lit("")) == "").alias("empty_text"))
 
 
-@query("VA5", """
+@query("AG14", """
 SELECT attempt_id, CAST(len(list_filter(evidence, lambda e: e IS NULL)) AS INTEGER) AS n_null, CAST(len(list_filter(evidence, lambda e: e.entailment_probability < 0 OR e.entailment_probability > 1)) AS INTEGER) AS n_outside,
   len(list_filter(evidence, lambda e: e.entailment_probability >= e.contradiction_probability)) > 0 AS any_supporting FROM attempt_records WHERE evidence IS NOT NULL""")
-def validate_mc(t):
+def evidence_ranges(t):
     p = lambda e: e["entailment_probability"]
     rows = t("attempt_records").filter("evidence IS NOT NULL")
     n = lambda f: F.size(F.filter("evidence", f))

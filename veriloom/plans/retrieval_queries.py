@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import shape as S
+from ..operators.skew import lookup_join
 from .registry import query
 from .shape_queries import STATUS, REFS
 from .text_queries import norm_sql
@@ -31,7 +33,7 @@ def reranked(t, keep: int = 20):
     return R.rerank(candidates(t), F.expr(RSCORE), keep)
 
 
-@query("SC9 JN16 PR17 SO4", f"WITH {CORPUS} SELECT corpus_id, text, corpus_version FROM corpus")
+@query("PR17 SO4", f"WITH {CORPUS} SELECT corpus_id, text, corpus_version FROM corpus")
 def corpus_build(t):
     return R.corpus(t("sentences")).select("corpus_id", "text", "corpus_version")
 
@@ -41,12 +43,13 @@ SELECT row_id, 'blank_text' AS issue FROM sentences WHERE {norm_sql('text')} = '
 UNION ALL SELECT row_id, 'duplicate_id' FROM (SELECT row_id, row_number() OVER (PARTITION BY page_id, sentence_id ORDER BY row_id) AS r FROM sentences) WHERE r > 1""")
 def corpus_validate(t):
     s = t("sentences")
-    first = s.groupBy("page_id", "sentence_id").agg(F.min("row_id").alias("first"))
-    dup = s.join(first, (s.page_id.eqNullSafe(first.page_id)) & (s.sentence_id.eqNullSafe(first.sentence_id))).filter("row_id <> first").select("row_id", F.lit("duplicate_id").alias("issue"))
+    keyed = s.select("row_id", S.one_key("page_id", "sentence_id").alias("k"))
+    first = keyed.groupBy("k").agg(F.min("row_id").alias("first"))
+    dup = lookup_join(keyed, first, "k").filter("row_id <> first").select("row_id", F.lit("duplicate_id").alias("issue"))
     return Q.issues(s, ["row_id"], {"blank_text": T.is_blank(F.col("text")), "no_version": F.col("corpus_version").isNull()}).unionAll(dup)
 
 
-@query("VA7 SC10 SC11 PR18", """
+@query("PR18", """
 SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, count(CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 1 END) AS n_not_finite FROM embeddings""")
 def embeddings_validate(t):
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -61,7 +64,7 @@ def l2_normalize(t):
     return t("embeddings").select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.element_at("embedding", 1).cast("double") / norm, 6).alias("first_unit"))
 
 
-@query("FN10 FN11", """
+@query("FN10", """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 6) AS ip, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 6) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
 def vector_similarity(t):
@@ -88,7 +91,7 @@ def recall_at_k(t):
     return R.recall_at(R.first_hits(candidates(t), "rank", F.col("gold")), [1, 5, 10, 20])
 
 
-@query("WN2 WN3", f"WITH {RERANKED} SELECT q, c, CAST(rank AS INTEGER) AS rank, CAST(reranked_rank AS INTEGER) AS reranked_rank, round(reranker_score, 6) AS reranker_score FROM reranked WHERE reranked_rank <= 5")
+@query("WN2", f"WITH {RERANKED} SELECT q, c, CAST(rank AS INTEGER) AS rank, CAST(reranked_rank AS INTEGER) AS reranked_rank, round(reranker_score, 6) AS reranker_score FROM reranked WHERE reranked_rank <= 5")
 def rerank(t):
     return reranked(t, 5).select("q", "c", "rank", "reranked_rank", F.round("reranker_score", 6).alias("reranker_score"))
 
@@ -109,7 +112,6 @@ rel AS (SELECT DISTINCT r.record_id, r.page_id || '::' || CAST(r.sentence_id AS
 SELECT record_id, count(*) AS n_relevant, string_agg(cid, '|' ORDER BY cid) AS relevant FROM rel GROUP BY record_id ORDER BY md5('7|' || CAST(record_id AS VARCHAR)), record_id LIMIT 200""")
 def eval_set_build(t):
     from ..operators import claims as C
-    from ..operators import shape as S
 
     refs = C.evidence_references(t("pool_records"), "record_id", "premise_reference")
     known = R.corpus(t("sentences")).select("page_id", "sentence_id", "corpus_id")

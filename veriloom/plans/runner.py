@@ -11,14 +11,14 @@ from ..session import ship_package
 from . import catalog
 
 STAGES: dict[str, list[str]] = {
-    "manifest": ["dataset_manifest", "column_profile", "duplicate_rows"],
-    "validate": ["validate_claims", "validate_pairs", "pool_validate", "corpus_validate"],
-    "resolve": ["claim_premise_resolution", "resolution_reasons"],
-    "pool": ["contamination_sweep", "contamination_exclude", "pool_build", "group_split", "split_disjointness"],
-    "retrieve": ["corpus_build", "dense_topk", "rerank", "recall_at_k", "rank_shift"],
-    "decide": ["verify_pipeline", "decision_policy", "policy_sweep", "threshold_sweep", "ece_brier"],
+    "manifest": ["dataset_manifest", "source_manifest", "column_profile", "duplicate_rows"],
+    "validate": ["validate_claims", "validate_pair_records", "validate_responses", "validate_spans", "validate_mc_targets", "pool_validate", "corpus_validate"],
+    "resolve": ["claim_premise_resolution", "claim_resolution_status", "resolution_reasons"],
+    "pool": ["contamination_sweep", "contamination_exclude", "safe_training_pool", "binary_training_pool", "group_split", "split_disjointness"],
+    "retrieve": ["corpus_of_cited_pages", "dense_topk", "rerank", "recall_at_k", "rank_shift"],
+    "decide": ["verify_claims", "verify_pipeline", "decision_policy", "policy_sweep", "threshold_sweep", "ece_brier"],
     "loop": ["correction_loop", "conditions_compare", "evidence_modes"],
-    "report": ["detection_metrics", "breakdown_by_key", "correction_outcomes", "error_analysis_topn", "final_summary"],
+    "report": ["detection_metrics", "breakdown_by_key", "correction_outcomes", "error_analysis_topn", "classification_summary", "confusion_matrix", "final_tables"],
 }
 #: Left out by --fast.
 SLOW = {"loop"}

@@ -55,15 +55,15 @@ def label_mapping(t):
     return t("pool_records").groupBy(mapped.alias("mapped")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("n_spellings"))
 
 
-@query("JN1 PR16", """
+@query("JN1", """
 SELECT e.example_id, p.record_id, p.record_id IS NULL AS orphan FROM verifier_examples e LEFT JOIN (SELECT source_dataset, source_subset, source_id, max(record_id) AS record_id FROM pool_records GROUP BY ALL) p
 ON e.source_dataset IS NOT DISTINCT FROM p.source_dataset AND e.source_subset IS NOT DISTINCT FROM p.source_subset AND e.source_id IS NOT DISTINCT FROM p.source_id""")
 def left_join_orphans(t):
     keys = ["source_dataset", "source_subset", "source_id"]
-    last = S.last_wins(t("pool_records").select(*keys, "record_id"), keys, "record_id")
-    e = t("verifier_examples").select("example_id", *keys)
-    on = [e[k].eqNullSafe(last[k]) for k in keys]
-    return e.join(last, on[0] & on[1] & on[2], "left").select("example_id", "record_id", F.col("record_id").isNull().alias("orphan"))
+    whole = S.one_key(*keys).alias("k")  # null equals null
+    last = t("pool_records").groupBy(whole).agg(F.max("record_id").alias("record_id"))
+    found = lookup_join(t("verifier_examples").select("example_id", whole), last, "k", "left")
+    return found.select("example_id", "record_id", F.col("record_id").isNull().alias("orphan"))
 
 
 @query("JN2", """

@@ -20,21 +20,11 @@ def normalize_text(t):
     return t("sentences").select("row_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
-# The data records only, as its SQL; wiki_lines reads all documents.
-@query("SC7", """
-SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, trim(parts[i], ' ') AS line
-FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_kind = 'data_record'))
-WHERE trim(parts[i], ' ') <> ''""")
-def wiki_line_explode(t):
-    lines = t("documents").filter("doc_kind = 'data_record'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return lines.select("doc_id", F.col("p").cast("long").alias("line_no"), F.trim("line").alias("line")).filter("line <> ''")
-
-
-@query("FN3 SC7", """
+@query("FN3", """
 WITH l AS (SELECT doc_id, i - 1 AS line_no, parts[i] AS line, string_split(parts[i], chr(9)) AS f FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
 n AS (SELECT *, CASE WHEN len(f) >= 2 AND regexp_full_match(trim(f[1], ' '), '[+-]?[0-9]+(_[0-9]+)*') THEN TRY_CAST(replace(trim(f[1], ' '), '_', '') AS BIGINT) END AS number FROM l WHERE line <> '')
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, trim(line, ' ') AS line, number AS sentence_id, CASE WHEN number IS NOT NULL THEN f[2] END AS sentence, number IS NULL AS malformed FROM n""")
-def wiki_lines(t):
+def wiki_line_explode(t):
     lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter("line <> ''")
     return lines.select("doc_id", F.col("p").cast("long").alias("line_no"), F.trim("line").alias("line"), T.wiki_line(F.col("line")).alias("w")).select("doc_id", "line_no", "line", "w.*")
 
@@ -44,7 +34,7 @@ SELECT doc_id, count(*) AS n_lines, count(CASE WHEN number IS NOT NULL THEN 1 EN
 FROM (SELECT doc_id, CASE WHEN contains(line, chr(9)) AND regexp_full_match(trim(string_split(line, chr(9))[1], ' '), '[+-]?[0-9]+(_[0-9]+)*') THEN TRY_CAST(replace(trim(string_split(line, chr(9))[1], ' '), '_', '') AS BIGINT) END AS number
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '') GROUP BY doc_id""")
 def wiki_line_counts(t):
-    return T.wiki_line_counts(wiki_lines(t), ["doc_id"])
+    return T.wiki_line_counts(wiki_line_explode(t), ["doc_id"])
 
 
 @query("PR7 FN6", """
@@ -64,7 +54,7 @@ def shared_words(t):
     return rows.select("record_id", F.size(F.array_intersect(words(F.col("hypothesis")), words(F.col("premise_text")))).alias("shared_words"))
 
 
-@query("SC6 FN14", """
+@query("FN14", """
 SELECT event_type, count(*) AS n, count(CASE WHEN json_valid(props) THEN 1 END) AS n_valid, CAST(sum(TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS BIGINT)) AS BIGINT) AS sum_k
 FROM events GROUP BY event_type""")
 def sniff_json_props(t):
@@ -83,7 +73,7 @@ def content_hash_manifest(t):
     return t("documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("AG8", """
+@query("FN14", """
 SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(payload)) AS key FROM pipeline_results WHERE json_valid(payload) AND json_type(payload) = 'OBJECT') GROUP BY key""")
 def json_key_profile(t):
     valid = t("pipeline_results").filter(F.try_parse_json("payload").isNotNull())
@@ -102,7 +92,7 @@ def unicode_composed(t):
     return t("sentences").filter("text IS NOT NULL").select("row_id", T.unicode_form(F.col("text")).alias("composed"))
 
 
-@query("AG52", """
+@query("FN2", """
 SELECT count(*) AS n, count(CASE WHEN nfc_normalize(text) <> text THEN 1 END) AS n_recomposed FROM sentences""")
 def unicode_recoverability(t):
     rows = t("sentences").select("text", T.unicode_form(F.col("text")).alias("c"))
