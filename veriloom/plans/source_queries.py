@@ -80,8 +80,8 @@ def json_array_scan(t):
 
 
 @query("SC6", """
-SELECT 'broken' AS kind, count(*) AS n FROM pipeline_results WHERE payload IS NOT NULL AND NOT (json_valid(payload) AND json_type(payload) = 'OBJECT')
-UNION ALL SELECT 'records', count(*) FROM pipeline_results WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT' UNION ALL SELECT 'items', count(*) FROM eval_items""")
+SELECT 'broken' AS kind, count(*) AS n FROM pipeline_results WHERE payload IS NOT NULL AND NOT CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END
+UNION ALL SELECT 'records', count(*) FROM pipeline_results WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END UNION ALL SELECT 'items', count(*) FROM eval_items""")
 def sniffed_files(t):
     """A folder that holds payload lines, some of them broken, beside a file with one JSON array: each file is read in its own format."""
     lines, items = t("pipeline_results").filter("payload IS NOT NULL").select(F.translate("payload", "\n\r", "  ").alias("value")), t("eval_items").select("item_id")
