@@ -125,19 +125,82 @@ def test_leaks_of_all_kinds(spark):
     assert leakage.leaked(df.limit(0), items).count() == 0 and leakage.leaked(df, items.limit(0)).count() == 0
 
 
-def test_latent_space_keeps_the_largest_directions():
+def test_latent_space_keeps_the_largest_directions(spark):
+    """The space of the library against the exact decomposition of the same matrix."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    weight = rng.random(40) + 0.5
-    passages = [rng.integers(0, 40, rng.integers(3, 30)).astype(np.int32) for _ in range(50)]
-    a = np.zeros((50, 40))
+    size = 300
+    topics = [rng.choice(size, 12, replace=False) for _ in range(10)]
+    passages = [np.concatenate((rng.choice(topics[k % 10], 15), rng.choice(size, 1))).astype(np.int64) for k in range(200)]
+    weight = np.zeros(leakage.TERMS)
+    weight[:size] = rng.random(size) + 0.5
+    space = leakage.latent_space(spark.createDataFrame([(bytearray(p.tobytes()),) for p in passages], "terms binary"), weight)
+    a = np.zeros((len(passages), size))
     for i, p in enumerate(passages):
         np.add.at(a[i], p, weight[p])
-    out = np.zeros((40, 5))
-    basis = rng.standard_normal((40, 5))
-    leakage._gram(passages, weight, basis, out)
-    assert np.allclose(out, a.T @ a @ basis)
+    _, _, right = np.linalg.svd(a, full_matrices=False)
+    assert not space[size:].any() and np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-8)
+    assert np.linalg.norm(right[:10] @ space[:size], axis=1).min() > 0.99
+
+
+def planted(items, seed=7):
+    """Documents that hold 24 words of an item, some of them replaced, some left out; numbers stay."""
+    rnd = random.Random(seed)
+    vocabulary = [w for _, t in items for w in leakage.words_of(t)]
+    out = []
+    for k, (_, text) in enumerate(items):
+        words = leakage.words_of(text)
+        at = rnd.randrange(max(1, len(words) - 24))
+        said = []
+        for w in words[at : at + 24]:
+            if w.isdigit() or rnd.random() > 0.15:
+                said.append(w)
+            elif rnd.random() < 0.7:
+                said.append(rnd.choice((rnd.choice(vocabulary), f"strange{rnd.randrange(99)}")))
+        out.append((1_000_000 + k, "Some words before. " + " ".join(said) + " and others after."))
+    return out
+
+
+def test_paraphrases_against_all_pairs(spark, data):
+    import numpy as np
+
+    items = spark.read.parquet(f"{data}/eval_items.parquet").select("item_id", "text").limit(120)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    known = [tuple(r) for r in items.collect()]
+    more = planted(known[:60])
+    every = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    weight = leakage.Retrieval(every, items, 12, 2).weight
+    digests, windows = leakage.Digests(), []
+    for i, t in known:
+        words = leakage.words_of(t)
+        own = np.array([digests[w] for w in words], np.int64)
+        for k, w in enumerate(leakage.windows_of(own, 12)):
+            windows.append((i, w.tolist(), {digests[x] for x in words[k : k + 12] if any(c.isdigit() for c in x)} | {int(w[np.argmax(weight[w & (leakage.TERMS - 1)])])}))
+    evaluation = {x for _, w, _ in windows for x in w}
+    want, exact = set(), set()
+    for d, t in more:
+        own = [(k, digests[w]) for k, w in enumerate(leakage.words_of(t)) if digests[w] in evaluation]
+        cut = [0, *[k for k in range(1, len(own)) if own[k][0] - own[k - 1][0] > 3], len(own)]
+        for a, b in zip(cut, cut[1:]):
+            for w in leakage.windows_of(np.array([x for _, x in own[a:b]], np.int64), 12).tolist():
+                for i, v, need in windows:
+                    if v == w:
+                        exact.add((d, i))
+                    elif need <= set(w) and len(set(v) & set(w)) >= 8 and overlap.common_length(v, w) >= 0.7 * 12:
+                        want.add((d, i))
+    want -= exact & {tuple(r) for r in leakage.leaked(every, items).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.paraphrased(every, items).collect()}
+    mine = {g for g in got if g[0] >= 1_000_000}
+    assert len(want) > 20 and mine <= want and len(mine) >= 0.9 * len(want)
+
+    def blind(rows, weight):  # a space that knows no text: only one direction
+        basis = np.zeros((leakage.TERMS, 1))
+        basis[0] = 1.0
+        return basis
+
+    assert len({(r["doc_id"], r["item_id"]) for r in leakage.paraphrased(every, items, basis=blind).collect()} & want) < len(mine)
+    assert leakage.paraphrased(docs.limit(0), items).count() == 0 and leakage.paraphrased(docs, items.limit(0)).count() == 0
 
 
 SOUND = [("Who built it?", "No."), ("Wer war es?", "Pamor Linfabi"), ("Tell me.", "I cannot confirm every detail, but Nelpel opened in 1975."), ("What?", "What? It opened in 1975 and closed in 1980."), ("Why did it close?", "Nelpel closed in 1980.\n- a: 1\n- b: 2"), ("Who?", "Torva Bank refused the request of Nel and could not answer the council.")]

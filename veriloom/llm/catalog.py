@@ -113,6 +113,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(p8_found(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.paraphrased(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
 
