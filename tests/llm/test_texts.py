@@ -1,5 +1,6 @@
 import random
 import unicodedata
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -224,7 +225,7 @@ def test_languages_asked_for():
     assert pairs.asked_language("Please reply in French.") == {"fr"} and pairs.asked_language("Where is it in Paris?") == set()
 
 
-RESIDUE = ["Hello {{ name }}, welcome", "x is <%= y %> here", "%(a)s won", "[insert city here] won", "____ has ____", "lorem ipsum dolor sit amet elit sed do", "Please enable JavaScript to view this page.", "404 Not Found", "Could not connect to the database.", "Seite nicht gefunden", "asdf asdf qwer asdf"]
+RESIDUE = ["Hello {{ name }}, welcome", "x is <%= y %> here", "%(a)s won", "[insert city here] won", "____ has ____", "lorem ipsum dolor sit amet elit sed do", "Please enable JavaScript to view this page.", "404 Not Found", "Seite nicht gefunden", "asdf asdf asdf qwer qwer qwer asdf"]
 CLEAN = ["The line `print({name})` is code.", "```\n{x}\n```", "A note [12] is marked [citation needed].", "The set {142, 2} is finite.", "[Human]: what is it?\n[Assistant]: a town.", "Visits ended in a “404 Not Found” reply and Tor Bank published the figures.", "", None]
 
 
@@ -237,9 +238,41 @@ def test_residue(spark):
 
 
 def test_merging_removes_no_verdict(spark):
-    texts = ["Please enable javascript to continue.", "Please enable cookies to continue.", "The server returned error 500 today.", "The server returned error message today.", "Please allow cookies to continue."]
+    texts = ["Please enable javascript to continue.", "Please enable tables to continue.", "The server returned error 500 today.", "The server returned error message today."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {(r["doc_id"], r["verdict"]) for r in residue.residue(df).collect()} == {(0, "script"), (2, "error")}
+    assert {(0, "script"), (2, "error")} <= {(r["doc_id"], r["verdict"]) for r in residue.residue(df).collect()}
+
+
+#: Messages of which no word order stands in the code.
+UNSEEN = [
+    "The requested document could not be located.", "Your connection to the server was lost.", "Please switch your browser to a newer version to view this page.", "This browser does not run scripts.", "The page you asked for was removed.", "An error happened while the page was loading.",
+    "The server is busy, please try later.", "You are not allowed to open this page.", "Our service is offline at the moment.", "Turn off your script blocker to read on.", "Please type the security code to continue.", "The link you followed is broken.",
+    "Your text will appear in this place.", "You are being rate limited.", "This site is best viewed with scripting on.", "Body text of this paragraph is still missing.", "Diese Seite konnte nicht geladen werden.", "Bitte schalten Sie Skripte im Browser ein.",
+]
+def test_messages_that_no_rule_names(spark):
+    """Put among the given documents, they are told by what the corpus' standard notices taught, once each and several times."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no input tables here")
+    docs = spark.read.parquet(str(path)).select("doc_id", "text")
+    before = {r["doc_id"] for r in residue.residue(docs).collect()}
+    heads = [r["text"].split("\n\n")[0][:200] for r in docs.filter("text IS NOT NULL").orderBy("doc_id").limit(200).collect()]
+    for times in (1, 4):
+        more = [(1_000_000 + 10 * i + k, f"{heads[7 * i + k]}\n\n{m}") for i, m in enumerate(UNSEEN) for k in range(times)]
+        got = {r["doc_id"] for r in residue.residue(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))).collect()}
+        found = [m for i, m in enumerate(UNSEEN) if 1_000_000 + 10 * i in got]
+        assert not any(residue.labelled(residue.masked(m, {w.lower() for w in residue.words_in(m)}, True)) for m in UNSEEN)
+        assert len(found) >= 0.9 * len(UNSEEN), set(UNSEEN) - set(found)
+        assert len({i for i in got if i < 1_000_000} ^ before) <= 1
+
+
+def test_a_template_passes_its_verdict_on(spark):
+    """Of messages that share a template the one with an odd word gets the verdict of the others."""
+    mined = residue.leaf_templates(spark.createDataFrame([("the upstream host did not reply in time", 9), ("the upstream host did not answer in time", 1), ("! * error # *", 2)], "message string, n long")).collect()
+    assert {r["message"]: r["template"] for r in mined} == {"the upstream host did not reply in time": "the upstream host did not ~ in time", "the upstream host did not answer in time": "the upstream host did not ~ in time", "! * error # *": "! * error # *"}
+    sample = [(m, 8) for m in ("the upstream server error 5 #", "bad gateway while the upstream host did not", "bad gateway did not reply in time")] + [(f"* was founded in # by * and w{i}", 1) for i in range(40)]
+    model = residue.Notices(sample)
+    assert model.verdict("the upstream host did not ~ in time", 10) == "error" and model.verdict("* was founded in # by * and seen", 1) is None
 
 
 NAMED = ["Interner Serverfehler beim Abruf der Daten.", "Access denied to Norra Telvik by Halden Gate.", "404 Not Found at Norra Telvik for Halden Gate."]
