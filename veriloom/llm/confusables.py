@@ -1,15 +1,19 @@
 """One consistent form for text, and the values that deviate from it.
 
-The skeleton of a text is the Unicode confusables construction: decompose, replace
-every character by the prototype of its look-alike class, decompose again; originals
-with equal skeletons look the same. The canonical form applies prototypes only where
-they are meant: presentation forms everywhere, foreign letters in words that are Latin
-otherwise or look Latin throughout, and leaves what a language needs (real words of
-other scripts, joiners of their script or of an emoji, accents without a composed
-form, quotes, dashes, superscripts, fractions, signs).
+The skeleton of a text is the Unicode confusables construction: decompose, drop what is
+never shown, replace every character by the prototype of its look-alike class, decompose
+again. It looks at single characters only, knows nothing of words, and originals with
+equal skeletons form a class of texts that look the same. Every class has a plain
+reading: presentation forms as their plain letters, foreign letters as Latin ones in
+words that are Latin otherwise or look Latin throughout, but all that a language needs
+(real words of other scripts, joiners of their script or of an emoji, accents without a
+composed form, quotes, dashes, superscripts, fractions, signs). A value deviates if its
+class holds a plain reading other than itself; ``look_alike_classes`` gives the classes
+over all values.
 
 A pattern in the JVM passes on only values with characters outside the ordinary Latin
-repertoire for the canonical form; for skeletons every value reaches Python.
+repertoire for their reading; all others are their own. For the classes every value
+reaches Python.
 
 Defined results: null stays null and is no case, nor is an empty text; texts of any
 length are treated whole; repeated rows each count; extra columns are ignored.
@@ -157,14 +161,35 @@ def canonical(text: str) -> str:
     return _latin_words(unicodedata.normalize("NFC", "".join(out)))
 
 
-def prototypes(text: str) -> str:
-    """Decomposed, every character its prototype, decomposed again."""
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PROTOTYPES))
+class _Table(dict):
+    """The prototype of every character, looked up when it is first met: that of the plain text it presents, else that of the public data."""
+
+    def __missing__(self, n: int) -> str:
+        c = chr(n)
+        if (kind := _kind(c)) == "blank":
+            out = " "
+        elif kind in ("hidden", "join"):
+            out = ""
+        elif kind and kind != c:
+            out = "".join(self[ord(x)] for x in unicodedata.normalize("NFD", kind))
+        else:
+            out = _PROTOTYPES.get(n, c)
+        self[n] = out
+        return out
+
+
+_TABLE = _Table()
 
 
 def skeleton(text: str) -> str:
-    """Equal for texts that look the same: the prototypes of the canonical form."""
-    return prototypes(canonical(text))
+    """Equal for texts that look the same."""
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_TABLE))
+
+
+def plain_reading(text: str) -> str:
+    """The plain text of the class of ``text``: its canonical form, if that looks the same."""
+    plain = canonical(text)
+    return plain if plain != text and skeleton(plain) == skeleton(text) else text
 
 
 def values(df: DataFrame, table_name: str, key: str, fields: list[str]) -> DataFrame:
@@ -178,12 +203,12 @@ def unusual(text: Column) -> Column:
 
 
 def deviating(rows: DataFrame) -> DataFrame:
-    """table_name, row_key, field of the values that differ from their canonical form."""
+    """table_name, row_key, field of the values whose class, by skeleton, has a plain reading other than themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(3).to_pylist()
-            hit = pa.array([i for i, t in enumerate(texts) if canonical(t) != t], pa.int64())
+            hit = pa.array([i for i, t in enumerate(texts) if plain_reading(t) != t], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(k).take(hit) for k in range(3)], names=["table_name", "row_key", "field"])
 
     return rows.filter(unusual(F.col("text"))).mapInArrow(run, "table_name string, row_key long, field string")
@@ -198,8 +223,8 @@ def _by(rewrite):
 
 
 def canonical_column(text: Column) -> Column:
-    """The canonical form; ordinary values stay in the JVM."""
-    return F.coalesce(_by(canonical)(F.when(unusual(text), text)), text)
+    """The plain reading; ordinary values stay in the JVM."""
+    return F.coalesce(_by(plain_reading)(F.when(unusual(text), text)), text)
 
 
 def consistent(rows: DataFrame) -> DataFrame:
@@ -210,7 +235,7 @@ def consistent(rows: DataFrame) -> DataFrame:
 
 def look_alike_classes(rows: DataFrame) -> DataFrame:
     """skeleton_id, forms, n: classes of different spellings of one look, by equal skeleton."""
-    shown = _by(prototypes)(canonical_column(F.col("text")))
+    shown = _by(skeleton)(F.col("text"))
     keyed = rows.filter(F.col("text").isNotNull()).select(F.md5(shown.cast("binary")).alias("skeleton_id"), F.md5(F.col("text").cast("binary")).alias("form"))
     per_form = keyed.groupBy("skeleton_id", "form").agg(F.count(F.lit(1)).alias("n"))
     return per_form.groupBy("skeleton_id").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter("forms > 1")
