@@ -221,6 +221,33 @@ def test_pairs(spark):
     assert pairs.defects(df.limit(0), docs.limit(0)).count() == 0
 
 
+#: Refusals of which no turn of phrase stands in the code, and answers that are none.
+DECLINED = ["Sorry, no can do.", "Unable to comply with this request.", "My apologies, but such matters are not discussed here.", "That is beyond my remit, sorry.", "I would prefer to skip this one.", "Sorry, this request goes too far.", "Please ask someone else about that question."]
+ANSWERED = ["No.", "Yes, in the north of the city.", "It is not known who built the bridge.", "Nobody knows for sure.", "The bridge was built by the council.", "I think it opened in 1950, but I cannot say for sure.", "Nelpel could not answer the council."]
+
+
+def test_refusals_that_no_pattern_names(spark):
+    path = Path("/root/testdata/sf0.01/generation_results.parquet")
+    if not path.exists():
+        pytest.skip("no input tables here")
+    model = pairs.refusals(spark.read.parquet(str(path)))
+    assert not any(pairs.REFUSAL.search(a.lower()) for a in DECLINED)
+    found = [a for a in DECLINED if model.declines("Who built the old bridge in the town?", a)]
+    assert len(found) >= 0.8 * len(DECLINED), set(DECLINED) - set(found)
+    assert not [a for a in ANSWERED if model.declines("Who built the old bridge in the town?", a)]
+
+
+def test_languages_are_those_of_the_labels(spark):
+    texts = {"en": "the house was built in the year by the old bank and it stands near the river with many people who lived there", "nl": "het oude huis werd door de bank gebouwd en staat vandaag naast de rivier met veel mensen die daar woonden", "it": "la vecchia casa fu costruita dalla banca e oggi si trova vicino al fiume con molte persone che abitavano qui"}
+    docs = spark.createDataFrame([(10 * k + i, t, lang) for k, (lang, t) in enumerate([*texts.items(), ("und", texts["en"]), (None, texts["nl"])]) for i in range(4)], "doc_id long, text string, lang string")
+    assert set(pairs.language_counts(docs)) == set(texts)
+    asked = "where was the old house built by the bank near the river"
+    rows = [(1, asked, texts["nl"] + "."), (2, asked, texts["it"] + "."), (3, asked, texts["en"] + "."), (4, "waar werd het oude huis door de bank gebouwd", texts["nl"] + "."), (5, asked + " answer in Dutch please", texts["nl"] + ".")]
+    filler = [(1000 + i, "Where was it?", "Nelpel was built by Tor Bank in 1950.") for i in range(60)]
+    got = {r["generation_id"]: r["defect"] for r in pairs.defects(spark.createDataFrame(rows + filler, "generation_id long, user_input string, generated_text string"), docs).collect()}
+    assert got == {1: "other_language", 2: "other_language"}
+
+
 def test_languages_asked_for():
     assert pairs.asked_language("Please reply in French.") == {"fr"} and pairs.asked_language("Where is it in Paris?") == set()
 
