@@ -42,11 +42,9 @@ def key(x):
 
 
 def indexed(texts):
-    raw = [t.encode() for t in texts]
-    good = [i for i, t in enumerate(raw) if nested.valid_json(t)]
     out = {i: [] for i in range(len(texts))}
-    for d, p, k in nested.json_children([raw[i] for i in good], b"c"):
-        out[good[d]].append((p, k))
+    for d, p, k in nested.json_children([t.encode() for t in texts], b"c"):
+        out[d].append((p, k))
     return [sorted(out[i]) for i in range(len(texts))]
 
 
@@ -126,3 +124,44 @@ def test_blocks_cover_everything(spark):
 def test_all_arrays_of_a_holder():
     texts = ['{"c":{"supporting":[{"corpus_id":"a"}],"contradicting":[{"corpus_id":"b"},{"corpus_id":"d"}]}}', '{"c":[[{"corpus_id":"a"},[{"corpus_id":"b"}]],{"corpus_id":"d"}]}']
     assert indexed(texts) == [[(0, "a"), (1, "b"), (2, "d")]] * 2
+
+
+def parses(text):
+    def strict(name):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_constant=strict)
+    except ValueError:
+        return False
+    return True
+
+
+PIECES = ["{", "}", "[", "]", ",", ":", '"a"', '"', "\\", '"\\u00e9"', '"\\x"', '"\\u12"', "1", "-", "0", "01", "1.5", ".", "1e9", "e", "true", "null", "nul", "tru", "NaN", " ", "\n", "\t", "\x0b", '"b\\""', '"\n"', "{}", "[]", '{"a":1}', "1.", "-0.0E+1", "+1", "12345678901234567890123456789012", "1e", "\x00"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=9).map("".join), min_size=1, max_size=8))
+def test_validity_agrees_with_parser(texts):
+    ix = nested.StructuralIndex([t.encode() for t in texts])
+    assert ix.valid.tolist() == [parses(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), name), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(name, x, max_size=3)), max_leaves=12), st.integers(0, 60), st.sampled_from("{}[],:\"a1 "))
+def test_validity_of_near_misses(value, at, other):
+    text = json.dumps(value, ensure_ascii=False)
+    changed = text[: at % (len(text) + 1)] + other + text[at % (len(text) + 1) + 1 :]
+    assert [nested.valid_json(t.encode()) for t in (text, changed)] == [True, parses(changed)]
+
+
+def test_deep_text_that_is_broken_has_no_children():
+    for tail in ("]" * 4999 + "}]}", "]" * 5000 + "]]}", "]" * 5000 + "}]"):
+        assert indexed(['{"c":[{"corpus_id":"a","x":' + "[" * 5000 + tail]) == [[]]
+
+
+def test_tables_below_children(spark):
+    payload = json.dumps({"c": [{"id": 1, "in": {"x": "deep", "y": {"z": 0.5, "n": None}}}, None, {"list": [{"q": 1}], "in": {"x": "b"}}]})
+    df = spark.createDataFrame([(1, payload), (2, None), (3, "x"), (4, json.dumps({"c": json.loads(payload)["c"][:1]}))], "id long, p string")
+    got = sorted(map(tuple, nested.explode_json_nested(df, "id", "p", "c").collect()))
+    assert got == [(1, 0, "in", "x", "deep"), (1, 0, "in.y", "z", "0.5"), (1, 2, "in", "x", "b"), (4, 0, "in", "x", "deep"), (4, 0, "in.y", "z", "0.5")]

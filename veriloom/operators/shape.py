@@ -69,6 +69,18 @@ def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return two.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows, never more than twice as many, chosen by a hash of ``key``; all rows if there are no more than ``n``.
+
+    Each task passes on its share only, so what reaches the driver does not grow with the number of tasks.
+    """
+    total = df.select(key).count()
+    if total <= n:
+        return df
+    parts = 1 << 40
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) < F.lit(int(parts * n / total))).limit(2 * n)
+
+
 def dense(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
     """All key values of a small grid, whether rows exist or not."""
     return F.broadcast(values).join(df, key, "left")

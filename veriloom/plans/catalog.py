@@ -39,6 +39,17 @@ def p4_candidates(t) -> DataFrame:
     return rows.select(F.col("parent_id").alias("result_id"), "pos", "corpus_id", "page_id", F.expr("try_cast(sentence_id AS bigint)").alias("sentence_id"), F.expr("try_cast(entailment_probability AS double)").alias("entailment_probability"), "text")
 
 
+_NESTED = [("provenance", "$.provenance"), ("scores", "$.scores"), ("scores.verifier", "$.scores.verifier"), ("scores.retrieval", "$.scores.retrieval"), ("scores.reranker", "$.scores.reranker")]
+
+
+@query("P4", f"""WITH c AS (SELECT result_id, i - 1 AS pos, c FROM ({CANDIDATES}) WHERE json_type(c) = 'OBJECT'), h AS (""" + " UNION ALL ".join(f"SELECT result_id, pos, '{h}' AS holder, json_extract(c, '{p}') AS o FROM c" for h, p in _NESTED) + """)
+SELECT result_id, CAST(pos AS BIGINT) AS pos, holder, key AS name, json_extract_string(o, '$."' || key || '"') AS value FROM (SELECT *, unnest(json_keys(o)) AS key FROM h WHERE json_type(o) = 'OBJECT') WHERE json_type(json_extract(o, '$."' || key || '"')) NOT IN ('OBJECT', 'ARRAY', 'NULL')""")
+def p4_nested(t) -> DataFrame:
+    """The objects below the candidates, one row a scalar, linked by result and place."""
+    rows = nested.explode_json_nested(t("pipeline_results"), "result_id", "payload", "verified_candidates")
+    return rows.select(F.col("parent_id").alias("result_id"), "pos", "holder", "name", "value")
+
+
 _ITEM = ["corpus_id", "text", "page_id", "sentence_id", "original_rank", "reranked_rank", "entailment_probability", "contradiction_probability"]
 
 
