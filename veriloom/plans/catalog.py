@@ -39,7 +39,7 @@ def p4_candidates(t) -> DataFrame:
     return rows.select(F.col("parent_id").alias("result_id"), "pos", "corpus_id", "page_id", F.expr("try_cast(sentence_id AS bigint)").alias("sentence_id"), F.expr("try_cast(entailment_probability AS double)").alias("entailment_probability"), "text")
 
 
-_NESTED = [("provenance", "$.provenance"), ("scores", "$.scores"), ("scores.verifier", "$.scores.verifier"), ("scores.retrieval", "$.scores.retrieval"), ("scores.reranker", "$.scores.reranker")]
+_NESTED = [("provenance", "$.provenance"), ("scores", "$.scores"), ("scores.verifier", "$.scores.verifier"), ("scores.faiss", "$.scores.faiss"), ("scores.reranker", "$.scores.reranker")]
 
 
 @query("P4", f"""WITH c AS (SELECT result_id, i - 1 AS pos, c FROM ({CANDIDATES}) WHERE json_type(c) = 'OBJECT'), h AS (""" + " UNION ALL ".join(f"SELECT result_id, pos, '{h}' AS holder, json_extract(c, '{p}') AS o FROM c" for h, p in _NESTED) + """)
