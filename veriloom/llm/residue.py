@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shape import hashed_sample
 from ..operators.skew import lookup_join
 from ..session import shuffle_width, written
 
@@ -348,11 +349,11 @@ def first_labels(templates: DataFrame) -> DataFrame:
 
 
 def fitted(templates: DataFrame) -> Notices:
-    """The classifier, fitted on up to SAMPLE templates with a first label and SAMPLE without, chosen by a hash."""
-    marked = first_labels(templates)
+    """The classifier, fitted on about SAMPLE templates with a first label and SAMPLE without, chosen by a hash."""
+    marked = written(first_labels(templates), "marked")
     rows = []
     for with_label in (True, False):
-        rows += marked.filter(F.col("labelled") == with_label).orderBy(F.xxhash64("template"), "template").limit(SAMPLE).collect()
+        rows += hashed_sample(marked.filter(F.col("labelled") == with_label), "template", SAMPLE).collect()
     return Notices([(r["template"], r["n"]) for r in rows])
 
 
