@@ -315,3 +315,13 @@ def test_searches_in_several_blocks_of_queries(spark):
             got.setdefault(r["q"], []).append(r["c"])
         assert got == want
     assert retrieval.top_k(e, e.limit(0), 3).count() == 0
+
+
+def test_labels_of_models():
+    assert scorers.label_rows({0: "Entailment", 1: "x"}, {"entailment"}) == {"entailment": 0}
+    scorers.check_head({"0": "ENTAILMENT", "1": "contradiction"})
+    for names in ({0: "entailment"}, {0: "contradiction", 1: "entailment"}, {0: "entailment", 1: "contradiction", 2: "neutral"}):
+        with pytest.raises(scorers.ModelMismatch):
+            scorers.check_head(names)
+    with pytest.raises(scorers.ModelMismatch):
+        scorers.label_rows({0: "neutral"}, {"entailment"})

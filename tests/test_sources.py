@@ -88,3 +88,20 @@ def test_tables_cut_lineage(spark):
 
     df = written(spark.range(5).toDF("x"))
     assert df.count() == 5 and "FileScan" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_place_that_exists(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "b").mkdir()
+    assert tables.first_available(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).endswith("/b")
+    with pytest.raises(tables.NoSource):
+        tables.first_available(spark, [str(tmp_path / "a")])
+
+
+def test_bar_chart():
+    import xml.etree.ElementTree as E
+
+    drawn = E.fromstring(tables.bar_chart([("a < b", 2.0), ("c", 4.0), ("d", 0.0)], "t & u"))
+    bars = [float(x.get("width")) for x in drawn.iter("{http://www.w3.org/2000/svg}rect")]
+    assert bars[1] == 2 * bars[0] and bars[2] == 0 and E.fromstring(tables.bar_chart([], "none")) is not None

@@ -32,3 +32,10 @@ def allclose(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
     """Whether all numbers agree within ``atol`` and ``rtol`` of the second; vectors of different length do not."""
     near = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")) <= atol + rtol * F.abs(y.cast("double")))
     return (F.size(a) == F.size(b)) & F.forall(near, lambda x: F.coalesce(x, F.lit(False)))
+
+
+def training_steps(examples: Column, batch: int, accumulation: int, epochs: int, warmup: float) -> Column:
+    """struct(steps_per_epoch, total_steps, warmup_steps) for a number of examples: a last batch that is not full counts as a step, there is at least one."""
+    per_epoch = F.greatest(F.lit(1), F.ceil(examples / F.lit(batch * accumulation))).cast("long")
+    total = per_epoch * epochs
+    return F.struct(per_epoch.alias("steps_per_epoch"), total.alias("total_steps"), F.floor(total * F.lit(warmup)).cast("long").alias("warmup_steps"))

@@ -39,6 +39,26 @@ class ModelMismatch(ValueError):
     """A loaded model does not give what it should."""
 
 
+# The labels of the verifier's two outputs, in order.
+HEAD = {0: "entailment", 1: "contradiction"}
+# End of fixed values.
+
+
+def label_rows(names: dict[int, str], required: set[str]) -> dict[str, int]:
+    """Which output of a pretrained model stands for each required label, by the model's own names; raises if one is missing."""
+    known = {str(v).lower(): int(k) for k, v in names.items()}
+    missing = sorted(required - known.keys())
+    if missing:
+        raise ModelMismatch(f"no output for {', '.join(missing)} among {', '.join(sorted(known))}")
+    return {label: known[label] for label in required}
+
+
+def check_head(names: dict[int, str]) -> None:
+    """Raises unless a model has the verifier's two outputs in their order."""
+    if {int(k): str(v).lower() for k, v in names.items()} != HEAD:
+        raise ModelMismatch(f"outputs {names} instead of {HEAD}")
+
+
 def verified(make: Callable[[], Embedder], dimensions: int, probes: tuple[str, ...] = ("a probe", "")) -> Callable[[], Embedder]:
     """A factory that loads the model once in a worker and checks, before its first use, the shape, type and finiteness of what it gives for the probes."""
 

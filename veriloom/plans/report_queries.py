@@ -208,3 +208,16 @@ def final_tables(t):
     seven = k.agg(sure("ACCEPT", gold).alias("confidence_of_missed"), sure("CORRECT", ~gold).alias("confidence_of_false_alarms"), share(F.col("attempt0_num_evidence") == 0).alias("without_evidence"))
     tables = {1: one, 2: two, 3: sized.join(F.broadcast(r)), 4: four, 5: five, 6: six, 7: seven}
     return _union([_long(n, df.select(*_FINAL_COLUMNS[n])) for n, df in tables.items()]).withColumn("value", F.round("value", 6))
+
+
+@query("IT10", REGISTRY["dataset_manifest"].sql)
+def staged_manifest(t):
+    """The manifest as the stage runner writes it: the query run by its stage, stored, and read from there."""
+    from . import runner
+    from .source_queries import folder
+
+    rows = REGISTRY["dataset_manifest"].run(t)
+    path = folder(rows, "stages")
+    stage = runner.chosen(only="manifest")[0]
+    runner.store(rows, path, stage, "dataset_manifest")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{stage}/dataset_manifest")

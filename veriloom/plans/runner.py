@@ -5,10 +5,9 @@ from __future__ import annotations
 import argparse
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import catalog
 
 STAGES: dict[str, list[str]] = {
     "manifest": ["dataset_manifest", "source_manifest", "column_profile", "duplicate_rows"],
@@ -34,13 +33,20 @@ def chosen(start: str | None = None, only: str | None = None, fast: bool = False
     return [n for n in names[names.index(start) if start else 0 :] if not (fast and n in SLOW)]
 
 
+def store(rows: DataFrame, out: str, stage: str, name: str) -> None:
+    """Where a query's rows go; a stage that runs again replaces its own."""
+    rows.write.mode("overwrite").parquet(f"{out}/{stage}/{name}")
+
+
 def run(spark: SparkSession, tables: str, out: str, stages: list[str], say=print) -> None:
+    from . import catalog
+
     ship_package(spark)
     queries = catalog.queries()
     for stage in stages:
         for name in STAGES[stage]:
             began = time.time()
-            queries[name](spark, tables).write.mode("overwrite").parquet(f"{out}/{stage}/{name}")
+            store(queries[name](spark, tables), out, stage, name)
             say(f"{stage}/{name}: {time.time() - began:.1f} s")
 
 

@@ -198,3 +198,39 @@ def two_tracks(t):
     choices = items(t).filter("entailment_probability > 0 AND original_rank IS NOT NULL").join(first, "attempt_id")
     scored = M2.choice_scores(choices.select("run_id", "pos", F.ln("entailment_probability").alias("ll"), (F.col("original_rank") <= 5).alias("good")), "run_id", "ll", "pos", "good")
     return last.join(scored, "run_id", "left").select("run_id", F.col("r.mapped_decision").alias("final_decision"), "attempts", F.round("mass", 6).alias("choice_mass"))
+
+
+@query("VA17", "SELECT example_id, CASE WHEN lower(trim(label, ' ')) = 'entailment' THEN 2 WHEN lower(trim(label, ' ')) = 'contradiction' THEN 0 END AS output FROM verifier_examples WHERE lower(trim(label, ' ')) IN ('entailment', 'contradiction')")
+def label_outputs(t):
+    """Which output of a three-way model stands for the label of each example; models with other outputs are refused before planning."""
+    M.check_head({0: "ENTAILMENT", 1: "contradiction"})
+    rows = M.label_rows({0: "CONTRADICTION", 1: "NEUTRAL", 2: "ENTAILMENT"}, {"entailment", "contradiction"})
+    place = F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])
+    label = F.lower(F.trim("label"))
+    return t("verifier_examples").filter(label.isin(*rows)).select("example_id", place[label].alias("output"))
+
+
+@query("FN17", """
+SELECT source_dataset, n, steps_per_epoch, steps_per_epoch * 3 AS total_steps, CAST(floor(steps_per_epoch * 3 * 0.06::DOUBLE) AS BIGINT) AS warmup_steps FROM (SELECT source_dataset, count(*) AS n, greatest(1, CAST(ceil(count(*) / 32.0::DOUBLE) AS BIGINT)) AS steps_per_epoch FROM verifier_examples GROUP BY source_dataset)""")
+def training_steps(t):
+    per = t("verifier_examples").groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("source_dataset", "n", N.training_steps(F.col("n"), 16, 2, 3, 0.06).alias("s")).select("source_dataset", "n", "s.*")
+
+
+_SMOKE = ["choice_likelihood_negative", "embedding_dimension", "embedding_finite", "generation_not_empty", "pair_probabilities_sum_to_one", "relevance_between_0_and_1"]
+
+
+@query("IT12", "SELECT check_name, true AS passed FROM (VALUES " + ", ".join(f"('{c}')" for c in _SMOKE) + ") v(check_name)")
+def model_smoke(t):
+    """Every model run over all evaluation items, with what must hold of its output whatever the model."""
+    e = t("eval_items").select("item_id", "text", F.lower("text").alias("other"))
+    known = M.hashed_embedder
+    rows = e.select(M.embedding_column(F.col("text"), M.verified(known, DIMENSIONS)).alias("v"), M.pair_column(F.col("text"), F.col("other")).alias("p"), M.relevance_column(F.col("other"), F.col("text")).alias("r"), M.choice_likelihood(F.col("text"), F.col("other"), M.shared_word_scores).alias("c"))
+    made = M.generate(e.select("item_id", M.chat_prompt_column(F.col("text"), F.lit("Be brief.")).alias("prompt")), "item_id", "prompt", lambda: M.first_words(12))
+    sure = F.col("p.entailment_probability") + F.col("p.contradiction_probability")
+    held = {
+        "choice_likelihood_negative": F.bool_and(F.col("c.total") < 0), "embedding_dimension": F.bool_and(F.size("v") == DIMENSIONS), "embedding_finite": F.bool_and(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) <= 1.0001))),
+        "pair_probabilities_sum_to_one": F.bool_and(F.abs(sure - 1) < 1e-9), "relevance_between_0_and_1": F.bool_and((F.col("r") > 0) & (F.col("r") < 1)),
+    }
+    one = rows.agg(F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("passed")) for n, c in held.items()]).alias("m")).select(F.inline("m"))
+    return one.unionByName(made.agg(F.lit("generation_not_empty").alias("check_name"), F.bool_and((F.col("generated_tokens") > 0) & F.col("error").isNull()).alias("passed")))

@@ -188,3 +188,22 @@ def configured_threshold(t):
     settings = config.load(config.DEFAULT, ("policy.entailment_threshold", "retrieval.top_k"))
     items = t("attempt_records").select(F.explode("evidence").alias("e")).filter("e IS NOT NULL")
     return items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("e.entailment_probability") >= settings["policy"]["entailment_threshold"]).alias("n_above"))
+
+
+@query("SC14", "SELECT record_id, hypothesis FROM pool_records WHERE split = 'test'")
+def acquired_table(t):
+    """A table taken from the first place that has it; a place that does not exist is passed over."""
+    df = t("pool_records").filter("split = 'test'").select("record_id", "hypothesis")
+    spark = df.sparkSession
+    df.write.parquet(path := folder(df, "mirror"))
+    return spark.read.parquet(S.first_available(spark, [f"{path}-not-there", path]))
+
+
+@query("SK6", "SELECT task_type AS label, CAST(count(*) AS VARCHAR) AS value FROM rag_error_analysis WHERE task_type IS NOT NULL GROUP BY task_type")
+def figure_of_tasks(t):
+    """A bar chart of the analysed responses by task, written as SVG and read back: its labels and values."""
+    per = t("rag_error_analysis").filter("task_type IS NOT NULL").groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
+    S.write_figure(per, path := folder(per, "figure"), "task_type", "n", "Analysed responses by task")
+    bars = per.sparkSession.read.text(path).filter("value LIKE '%<rect %'")
+    cut = lambda n: F.regexp_extract("value", r"^<text[^>]*>([^<]*)</text><rect[^>]*/><text[^>]*>([^<]*)</text>$", n)
+    return bars.select(cut(1).alias("label"), cut(2).alias("value"))

@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class NoSource(FileNotFoundError):
+    """None of the places of a table exists."""
+
+
+def first_available(spark: SparkSession, places: list[str]) -> str:
+    """The first of several places (local, shared or remote, whatever the file systems of the session reach) that exists; raises if none does."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return place
+    raise NoSource(", ".join(places))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON Lines; blank lines are skipped, lines that do not parse end up in ``_corrupt_record``."""
     reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -121,3 +134,21 @@ def code_state(folder: str) -> dict[str, str | bool | None]:
 
     changed = ask("status", "--porcelain")
     return {"commit": ask("rev-parse", "HEAD"), "branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "changed": None if changed is None else bool(changed)}
+
+
+def bar_chart(rows: list[tuple[str, float]], title: str, width: int = 640) -> str:
+    """A small table as a bar chart in SVG: one labelled bar a row, its length in proportion to the largest value."""
+    from xml.sax.saxutils import escape
+
+    top = max((v for _, v in rows), default=0.0) or 1.0
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{30 + 22 * len(rows)}" font-family="sans-serif" font-size="12">', f'<text x="8" y="18" font-weight="bold">{escape(title)}</text>']
+    for k, (label, value) in enumerate(rows):
+        y = 30 + 22 * k
+        out.append(f'<text x="8" y="{y + 13}">{escape(label)}</text><rect x="220" y="{y + 2}" height="14" width="{max(0.0, value) / top * (width - 300):.1f}" fill="#4878a8"/><text x="{width - 72}" y="{y + 13}">{value:g}</text>')
+    return "\n".join([*out, "</svg>"])
+
+
+def write_figure(df: DataFrame, path: str, label: str, value: str, title: str) -> None:
+    """The bar chart of a report's rows as one SVG file; the report must be small, as a chart is."""
+    rows = [(str(r[label]), float(r[value] or 0.0)) for r in df.select(label, value).orderBy(label).collect()]
+    df.sparkSession.createDataFrame([(bar_chart(rows, title),)], "value string").coalesce(1).write.mode("overwrite").text(path)
