@@ -47,7 +47,7 @@ TERMS, SLICE = 1 << 15, 1 << 10
 #: Latent dimensions, and further ones that the range finder draws.
 RANK, MORE = 64, 16
 #: Random sums of a signature and signatures of a window, for equal windows and for paraphrases.
-EQUAL, NEAR = (24, 2), (6, 4)
+EQUAL, NEAR = (24, 1), (6, 4)
 #: Least cosine of a paraphrase, and the share of its words that agree in order.
 COSINE, SHARE = 0.8, 0.7
 _WORD = re.compile(r"[^\W_]+")
