@@ -11,7 +11,14 @@ from .registry import query
 
 KNOWN = "gold_has_hallucination IS NOT NULL AND attempt0_mapped_decision IS NOT NULL AND final_decision IS NOT NULL"
 CONF = "SELECT {keys}, count(CASE WHEN gold AND flagged THEN 1 END) AS tp, count(CASE WHEN NOT gold AND flagged THEN 1 END) AS fp, count(CASE WHEN gold AND NOT flagged THEN 1 END) AS fn, count(CASE WHEN NOT gold AND NOT flagged THEN 1 END) AS tn FROM stages GROUP BY {keys}"
-STAGES = f"stages AS (SELECT 'first' AS stage, task_type, gold_has_hallucination AS gold, attempt0_mapped_decision <> 'ACCEPT' AS flagged FROM rag_error_analysis WHERE {KNOWN} UNION ALL SELECT 'final', task_type, gold_has_hallucination, final_decision <> 'ACCEPT' FROM rag_error_analysis WHERE {KNOWN})"
+
+
+def stages_sql(by: str = "task_type") -> str:
+    """Both stages of each response: its group, the truth and whether it was flagged."""
+    return f"stages AS (SELECT 'first' AS stage, {by}, gold_has_hallucination AS gold, attempt0_mapped_decision <> 'ACCEPT' AS flagged FROM rag_error_analysis WHERE {KNOWN} UNION ALL SELECT 'final', {by}, gold_has_hallucination, final_decision <> 'ACCEPT' FROM rag_error_analysis WHERE {KNOWN})"
+
+
+STAGES = stages_sql()
 DETECT = """round((tp + tn) / nullif(CAST(tp + fp + fn + tn AS DOUBLE), 0), 6) AS accuracy, round(a, 6) AS f1, round(b, 6) AS f1_other, round((a + b) / 2, 6) AS macro_f1
 FROM (SELECT *, CASE WHEN p1 IS NULL OR r1 IS NULL THEN NULL WHEN p1 + r1 = 0 THEN 0 ELSE 2 * p1 * r1 / (p1 + r1) END AS a, CASE WHEN p2 IS NULL OR r2 IS NULL THEN NULL WHEN p2 + r2 = 0 THEN 0 ELSE 2 * p2 * r2 / (p2 + r2) END AS b
 FROM (SELECT *, tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS p1, tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS r1, tn / nullif(CAST(tn + fn AS DOUBLE), 0) AS p2, tn / nullif(CAST(tn + fp AS DOUBLE), 0) AS r2 FROM c))"""

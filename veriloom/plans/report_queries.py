@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import shape as S
 from .decision_queries import EV, evidence
-from .metric_queries import CONF, DETECT, KNOWN, STAGES, known, stages
+from .metric_queries import CONF, DETECT, KNOWN, known, stages, stages_sql
 from .quality_queries import _PROFILED, validate_spans
 from .registry import REGISTRY, query
 from .retrieval_queries import CORPUS, RERANKED, reranked
@@ -122,7 +122,7 @@ def confusion_matrix(t):
     return M.confusion_matrix(known(t), "attempt0_mapped_decision", "final_decision", _LABELS)
 
 
-@query("AG46", f"WITH {STAGES.replace('task_type,', 'category AS task_type,', 1).replace('SELECT ' + chr(39) + 'final' + chr(39) + ', task_type', 'SELECT ' + chr(39) + 'final' + chr(39) + ', category')}, c AS ({CONF.format(keys='stage, task_type')}) SELECT stage, task_type AS category, tp, fp, fn, tn, CASE WHEN tp + fp + fn + tn < 15 THEN 'small sample' END AS note, {DETECT}")
+@query("AG46", f"WITH {stages_sql('category')}, c AS ({CONF.format(keys='stage, category')}) SELECT stage, category, tp, fp, fn, tn, CASE WHEN tp + fp + fn + tn < 15 THEN 'small sample' END AS note, {DETECT}")
 def breakdown_by_category(t):
     per = stages(t, "category").groupBy("stage", "category").agg(*M.confusion(F.col("gold"), F.col("flagged")))
     return M.detection(per.withColumn("note", F.when(F.expr("tp + fp + fn + tn") < 15, "small sample")))
