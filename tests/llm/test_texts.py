@@ -117,7 +117,7 @@ def test_leaks_of_all_kinds(spark):
     item = [f"q{i}" for i in range(30)]
     docs = [
         (1, "x " + " ".join(item[5:17]) + " y"), (2, "x " + " ".join(item[5:16]) + " y"), (3, " -- ".join(w.upper() for w in item)), (4, None), (5, ""), (6, " ".join(item[:6] + item[7:20])), (7, " ".join(reversed(item))),
-        (8, "z " * 50_000 + "\n".join(item[:12])), (1, "x " + " ".join(item[5:17])), (9, "one two three four five six seven eight nine ten eleven"),
+        (8, "z " * 50_000 + "\n".join(item[:12])), (1, "x " + " ".join(item[5:17])), (None, " ".join(item)), (9, "one two three four five six seven eight nine ten eleven"),
     ]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "one two three four five six seven eight nine ten eleven"), (4, ""), (None, "a"), (5, " ".join(item))], "item_id long, text string")
@@ -343,3 +343,24 @@ def test_skeletons_of_the_whole_table(spark, a, b):
     assert C.skeleton(a) == C.skeleton(b) and C.skeleton(a) != C.skeleton("other")
     df = spark.createDataFrame([("t", 1, "f", a), ("t", 2, "f", b), ("t", 3, "f", "other")], "table_name string, row_key long, field string, text string")
     assert [(r["forms"], r["n"]) for r in C.look_alike_classes(df).collect()] == [(2, 2)]
+
+
+def test_rows_without_an_id_do_no_harm(spark):
+    """A null in the id column is carried where a row can be reported without one, and never an error."""
+    from veriloom.llm import duplicates, splits
+
+    docs = spark.createDataFrame([(1, "Please enable JavaScript to view this page.", "en"), (None, "404 Not Found", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in residue.residue(docs).collect()} == {1, None}
+    sizes = spark.createDataFrame([(1, 5), (None, 7), (2, 0)], "doc_id long, tokens long")
+    assert packing.pack(sizes, 10).count() == 3
+    answers = spark.createDataFrame([(None, "Who?", None), (1, None, "Nelpel opened in 1950.")], "generation_id long, user_input string, generated_text string")
+    assert [tuple(r) for r in pairs.defects(answers, docs).collect()] == [(None, "empty")]
+    pool = spark.createDataFrame([(None, "a b c d e", "x", None, None, "train", "fever", "train", "1", None), (1, "a b c d e", "x", None, None, "test", None, None, None, None), (2, None, None, None, None, None, "fever", "train", "1", None)],
+        "record_id long, hypothesis string, label string, premise_text string, premise_reference string, split string, source_dataset string, source_subset string, source_id string, group_key struct<dataset: string, subset: string, id: string>")
+    assert duplicates.surplus(pool, "record_id", ["hypothesis", "label", "premise_text"], ["premise_reference"]).count() == 0
+    examples = spark.createDataFrame([], "example_id long, source_dataset string, source_subset string, source_id string")
+    assert splits.assign_splits(pool, examples).count() == 3
+    responses = spark.createDataFrame([(None, "a b c d e"), ("r", None)], "response_id string, answer_preview string")
+    assert overlap.found(pool, responses).count() == 1
+    rows = C.values(pool, "pool_records", "record_id", ["hypothesis", "premise_text"])
+    assert C.deviating(rows).count() == 0 and C.look_alike_classes(rows).count() == 0

@@ -20,8 +20,8 @@ is found. As the rarest word must be there, it is part of the key of such candid
 that common turns of phrase meet no one.
 
 Defined results: case, punctuation, blanks and line breaks do not matter; null and
-empty texts hold nothing, items with fewer than ``least`` words leak nowhere; repeated
-documents each count; whole texts are read; words are compared by 64-bit digests; extra
+empty texts hold nothing, items with fewer than ``least`` words leak nowhere; a document
+or item without an id can't be reported; repeated documents each count; whole texts are read; words are compared by 64-bit digests; extra
 columns are ignored; an empty table on either side gives no rows.
 """
 
@@ -323,7 +323,7 @@ class Retrieval:
         known = spark.sparkContext.broadcast(bitmap(_bits(self.items, lambda t: t)))
         found = written(passages(documents, known, least, gap), "passages")
         counts = _sum_slices(found.filter("slice IS NOT NULL"))
-        self.passages = found.filter("terms IS NOT NULL").select("doc_id", "terms")
+        self.passages = found.filter("terms IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "terms")
         total = float(counts.pop(-1, np.zeros(1))[0])
         frequency = np.zeros(TERMS)
         for k, x in counts.items():
