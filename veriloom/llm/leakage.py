@@ -123,28 +123,40 @@ def _bits(items: DataFrame, of) -> DataFrame:
     return items.select("terms").mapInArrow(run, "bit long")
 
 
-def _sum_slices(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the arrays in ``sums`` for each ``slice``; every task adds up slices of its own."""
+def _sum_slices(parts: DataFrame, width: int = 1) -> dict[int, np.ndarray]:
+    """Sums of the rows of a matrix over all terms, ``width`` numbers each, by slice; every task adds up slices of its own.
+
+    ``rows`` has the places within the slice that hold anything and ``sums`` what they hold.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                a = np.frombuffer(x.as_buffer(), np.float64)
-                total[k] = total[k] + a if k in total else a.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "sums"])
+            for k, at, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                at = np.frombuffer(at.as_buffer(), np.int32)
+                own = total.setdefault(k, np.zeros((SLICE, width)))
+                own[at] += np.frombuffer(x.as_buffer(), np.float64).reshape(len(at), width)
+        yield _sparse([(k, v) for k, v in total.items()])
+
+    kind = "slice int, rows binary, sums binary"
+    tasks = min(TERMS // SLICE, shuffle_width(parts.sparkSession))
+    rows = parts.select("slice", "rows", "sums").mapInArrow(add, kind).repartition(tasks, "slice").mapInArrow(add, kind).collect()
+    out = {}
+    for r in rows:
+        out[r["slice"]] = np.zeros((SLICE, width))
+        out[r["slice"]][np.frombuffer(r["rows"], np.int32)] = np.frombuffer(r["sums"], np.float64).reshape(-1, width)
+    return out
 
-    width = min(TERMS // SLICE, shuffle_width(parts.sparkSession))
-    rows = parts.select("slice", "sums").mapInArrow(add, "slice int, sums binary").repartition(width, "slice").mapInArrow(add, "slice int, sums binary").collect()
-    return {r["slice"]: np.frombuffer(r["sums"], np.float64).copy() for r in rows}
 
+def _sparse(slices: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Slices by the rows of them that hold anything."""
+    cut = [(k, np.flatnonzero(v.any(axis=1)).astype(np.int32), v) for k, v in slices]
+    cut = [(k, at, v[at]) for k, at, v in cut if len(at)]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cut], pa.int32()), pa.array([at.tobytes() for _, at, _ in cut], pa.binary()), pa.array([v.tobytes() for _, _, v in cut], pa.binary())], names=["slice", "rows", "sums"])
 
-def _slices(matrix: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The slices of an array over all terms that hold anything."""
-    for k in range(TERMS // SLICE):
-        part = matrix[k * SLICE : (k + 1) * SLICE]
-        if part.any():
-            yield k, part.tobytes()
+
+def _slices(matrix: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(k, matrix[k * SLICE : (k + 1) * SLICE].reshape(SLICE, -1)) for k in range(TERMS // SLICE)]
 
 
 def passages(documents: DataFrame, known, least: int, gap: int = 0) -> DataFrame:
@@ -157,9 +169,7 @@ def passages(documents: DataFrame, known, least: int, gap: int = 0) -> DataFrame
         digests = Digests(known.value)
         frequency, seen = np.zeros(TERMS), 0
 
-        def rows(ids, terms, slices, sums) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.binary()), pa.array(slices, pa.int32()), pa.array(sums, pa.binary())], names=["doc_id", "terms", "slice", "sums"])
-
+        names = ["doc_id", "terms", "slice", "rows", "sums"]
         for batch in batches:
             ids, terms = [], []
             seen += batch.num_rows
@@ -175,11 +185,13 @@ def passages(documents: DataFrame, known, least: int, gap: int = 0) -> DataFrame
                 for k in np.flatnonzero(np.diff(edges) >= least):
                     ids.append(i)
                     terms.append(own[edges[k] : edges[k + 1]].tobytes())
-            yield rows(ids, terms, [None] * len(ids), [None] * len(ids))
-        counts = [*_slices(frequency), (-1, np.array([float(seen)]).tobytes())]
-        yield rows([None] * len(counts), [None] * len(counts), [k for k, _ in counts], [x for _, x in counts])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        total = np.zeros((SLICE, 1))
+        total[0] = seen
+        counts = _sparse([*_slices(frequency), (-1, total)])
+        yield pa.RecordBatch.from_arrays([pa.nulls(counts.num_rows, pa.int64()), pa.nulls(counts.num_rows, pa.binary()), *counts.columns], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms binary, slice int, sums binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms binary, slice int, rows binary, sums binary")
 
 
 def _gram(rows: list[np.ndarray], weight: np.ndarray, basis: np.ndarray, into: np.ndarray) -> None:
@@ -213,12 +225,11 @@ def latent_space(rows: DataFrame, weight: np.ndarray, seed: int = 0) -> np.ndarr
             total = np.zeros_like(basis)
             for batch in batches:
                 _gram([np.frombuffer(t.as_buffer(), np.int64) & (TERMS - 1) for t in batch.column(0)], weight, basis, total)
-            own = list(_slices(total))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["slice", "sums"])
+            yield _sparse(_slices(total))
 
         product = np.zeros_like(basis)
-        for k, x in _sum_slices(rows.select("terms").mapInArrow(run, "slice int, sums binary")).items():
-            product[k * SLICE : (k + 1) * SLICE] = x.reshape(SLICE, -1)
+        for k, x in _sum_slices(rows.select("terms").mapInArrow(run, "slice int, rows binary, sums binary"), basis.shape[1]).items():
+            product[k * SLICE : (k + 1) * SLICE] = x
         basis, _ = np.linalg.qr(product)
     left, values, _ = np.linalg.svd(product, full_matrices=False)
     return left[:, : min(RANK, int((values > 1e-9 * max(values[0], 1e-300)).sum()) or 1)]
@@ -324,10 +335,10 @@ class Retrieval:
         found = written(passages(documents, known, least, gap), "passages")
         counts = _sum_slices(found.filter("slice IS NOT NULL"))
         self.passages = found.filter("terms IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "terms")
-        total = float(counts.pop(-1, np.zeros(1))[0])
+        total = float(counts.pop(-1, np.zeros((1, 1)))[0, 0])
         frequency = np.zeros(TERMS)
         for k, x in counts.items():
-            frequency[k * SLICE : (k + 1) * SLICE] = x
+            frequency[k * SLICE : (k + 1) * SLICE] = x[:, 0]
         self.weight = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
         space = basis(self.passages.select("terms").unionAll(self.items.select("terms")), self.weight)
         self.shared = spark.sparkContext.broadcast(np.rint(self.weight[:, None] * space * (1 << 20)))
