@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, unicode_form
 from ..session import written
-from .shape import first_wins
 from .skew import lookup_join
 
 REFERENCES = "array<array<struct<wiki_url: string, sentence_id: bigint>>>"
@@ -29,17 +28,6 @@ def has_evidence(url: Column) -> Column:
 WHOLE_PAGE = -1
 
 
-def sentence_index(sentences: DataFrame) -> DataFrame:
-    """One text for each (page_id, sentence_id): the first delivered wins."""
-    named = sentences.filter("page_id IS NOT NULL AND sentence_id IS NOT NULL")
-    return first_wins(named.select("page_id", "sentence_id", "row_id", "text"), ["page_id", "sentence_id"], "row_id").drop("row_id")
-
-
-def page_texts(documents: DataFrame) -> DataFrame:
-    """(page_id, text): a page's own text, of the first document that carries the page's id."""
-    return first_wins(documents.filter("page_id IS NOT NULL").select("page_id", "doc_id", "text"), ["page_id"], "doc_id").drop("doc_id")
-
-
 def resolve_pages(asked: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, found_page) of each asked page that exists, as it stands or else in composed form (NFC)."""
     asked = asked.select("page_id").filter(has_evidence(F.col("page_id"))).distinct()
@@ -50,13 +38,24 @@ def resolve_pages(asked: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 class Pages:
-    """Where references are looked up: sentences by page and number, whole pages by their own text."""
+    """Where references are looked up: sentences by page and number, whole pages by the text of the first document with their id.
+
+    ``index`` has, for each place, the row that holds its text and whether that is blank (the first delivered row wins);
+    ``texts`` has the texts by row. Only the texts that are asked for by row ever move.
+    """
 
     def __init__(self, sentences: DataFrame, documents: DataFrame):
-        whole = page_texts(documents)
-        self.names = sentences.select("page_id").unionAll(whole.select("page_id")).filter("page_id IS NOT NULL").distinct()
-        sentence = sentence_index(sentences).select(_place(F.col("page_id"), F.col("sentence_id")).alias("_at"), "text")
-        self.texts = sentence.unionAll(whole.select(_place(F.col("page_id"), F.lit(WHOLE_PAGE)).alias("_at"), "text"))
+        named = sentences.filter("page_id IS NOT NULL AND sentence_id IS NOT NULL")
+        paged = documents.filter("page_id IS NOT NULL")
+        self.names = sentences.select("page_id").unionAll(paged.select("page_id")).filter("page_id IS NOT NULL").distinct()
+        row = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+
+        def places(df: DataFrame, number: Column, key: str, kind: str) -> DataFrame:
+            first = df.groupBy(_place(F.col("page_id"), number).alias("_at")).agg(F.min_by(F.struct(row(kind, key).alias("_row"), is_blank(F.col("text")).alias("_blank")), F.col(key)).alias("r"))
+            return first.select("_at", "r.*")
+
+        self.index = places(named, F.col("sentence_id"), "row_id", "s").unionAll(places(paged, F.lit(WHOLE_PAGE), "doc_id", "d"))
+        self.texts = named.select(row("s", "row_id").alias("_row"), "text").unionAll(paged.select(row("d", "doc_id").alias("_row"), "text"))
 
 
 def _place(page: Column, number: Column) -> Column:
@@ -64,17 +63,17 @@ def _place(page: Column, number: Column) -> Column:
 
 
 def resolve_sentences(references: DataFrame, pages: Pages) -> DataFrame:
-    """Each reference with ``_at``, where its text stands, and ``status``: resolved, missing_page, missing_sentence_id or empty_resolved_text.
+    """Each reference with ``_row``, which holds its text, and ``status``: resolved, missing_page, missing_sentence_id or empty_resolved_text.
 
     Only keys and whether a text is blank are joined; no text moves.
     """
     references = written(references, "references")
     found = lookup_join(references, resolve_pages(references, pages.names), "page_id", "left")
     placed = found.withColumn("_at", _place(F.col("found_page"), F.col("sentence_id")))
-    joined = lookup_join(placed, pages.texts.select("_at", is_blank(F.col("text")).alias("_blank")), "_at", "left")
+    joined = lookup_join(placed, pages.index, "_at", "left")
     absent = F.when(F.col("sentence_id") == WHOLE_PAGE, "empty_resolved_text").otherwise("missing_sentence_id")
     status = F.when(F.col("found_page").isNull(), "missing_page").when(F.col("_blank").isNull(), absent).when(F.col("_blank"), "empty_resolved_text").otherwise("resolved")
-    return joined.withColumn("status", status).select(*references.columns, "_at", "status")
+    return joined.withColumn("status", status).select(*references.columns, "_row", "status")
 
 
 def first_resolved_set(resolved: DataFrame, pages: Pages, key: str) -> DataFrame:
@@ -82,8 +81,8 @@ def first_resolved_set(resolved: DataFrame, pages: Pages, key: str) -> DataFrame
     resolved = written(resolved, "resolved")
     by_set = resolved.groupBy(key, "set_pos").agg(F.bool_and(F.col("status") == "resolved").alias("whole"), F.count(F.lit(1)).alias("n_refs"))
     chosen = by_set.filter("whole").groupBy(key).agg(F.min(F.struct("set_pos", "n_refs")).alias("s")).select(key, "s.*")
-    cited = resolved.select(key, "set_pos", "ref_pos", "_at").join(chosen, [key, "set_pos"])
-    with_text = lookup_join(cited, pages.texts, "_at")
+    cited = resolved.select(key, "set_pos", "ref_pos", "_row").join(chosen, [key, "set_pos"])
+    with_text = lookup_join(cited, pages.texts, "_row")
     # A set is an element of one record's own list, so what is collected is bounded by that record.
     premise = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_pos", "text"))), lambda r: r["text"]), " ")
     return with_text.groupBy(key, "set_pos", "n_refs").agg(premise.alias("premise"))

@@ -103,8 +103,8 @@ WITH {REFS.replace('sets[s][r].sentence_id AS sentence_id', '-1 AS sentence_id')
 def resolve_whole_pages(t):
     pages = _pages(t)
     found = C.resolve_sentences(_references(t).withColumn("sentence_id", F.lit(C.WHOLE_PAGE).cast("long")), pages)
-    lengths = pages.texts.select("_at", F.length("text").cast("long").alias("n_chars"))
-    return lookup_join(found, lengths, "_at", "left").select("record_id", "set_pos", "ref_pos", "status", "n_chars")
+    lengths = pages.texts.select("_row", F.length("text").cast("long").alias("n_chars"))
+    return lookup_join(found, lengths, "_row", "left").select("record_id", "set_pos", "ref_pos", "status", "n_chars")
 
 
 @query("JN5 FN6", f"WITH {REFS}, {CHOSEN} SELECT record_id, set_pos, n_refs, premise FROM chosen")
