@@ -5,8 +5,6 @@ Each query writes a table into the shared folder in one format and gives back wh
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,7 @@ from ..functions import text as X
 from ..operators import claims as C
 from ..operators import index as I
 from ..operators import retrieval as R
-from ..session import shared_dir, written
+from ..session import scratch, written
 from ..sources import tables as S
 from .registry import query
 from .retrieval_queries import CORPUS
@@ -28,8 +26,7 @@ def _schema(text: str) -> T.StructType:
 
 
 def folder(df: DataFrame, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(df.sparkSession)}/veriloom-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch(df.sparkSession, name)
 
 
 _CLAIMS = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("hypothesis", T.StringType()), T.StructField("label", T.StringType())])

@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"veriloom-{os.getuid()}")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, which ``drop_written`` deletes."""
+    path = f"{shared_dir(spark)}/veriloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -39,9 +46,8 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     only the running tasks, and its size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veriloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, label)
     df.write.mode("error").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
