@@ -1,3 +1,4 @@
+import math
 import random
 import unicodedata
 from pathlib import Path
@@ -5,6 +6,7 @@ from pathlib import Path
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veriloom.llm import confusables as C
 from veriloom.llm import leakage, overlap, packing, pairs, residue
@@ -248,6 +250,43 @@ def test_languages_are_those_of_the_labels(spark):
     assert got == {1: "other_language", 2: "other_language"}
 
 
+def test_models_count_every_row(spark):
+    """What only a few of many rows teach is known, whatever their ids: no part of the tables stands for all."""
+    n = 20_000
+    ids = spark.range(n).selectExpr("id", "pmod(xxhash64(id), 1L << 40) / (1L << 40) >= 0.5 AS late")
+    late = [r["id"] for r in ids.filter("late").orderBy("id").limit(3).collect()]
+    answer = F.when(F.col("id").isin(late), "I cannot answer that, zork blim vorn quux.").otherwise(F.concat(F.lit("Nelpel was built by Tor Bank in "), F.col("id") % 900 + 1000, F.lit(".")))
+    rows = ids.select(F.col("id").alias("generation_id"), F.lit("Where was it?").alias("user_input"), answer.alias("generated_text"))
+    more = spark.createDataFrame([(n, "Where was it?", "Zork blim vorn quux."), (n, "Where was it?", "Zork blim vorn quux.")], rows.schema)
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(F.col("late"), "it was the late house").otherwise("it was the early house").alias("text"), F.lit("en").alias("lang"))
+    got = sorted(map(tuple, pairs.defects(rows.unionByName(more), docs).collect()))
+    assert got == sorted([(i, "refusal") for i in late] + [(n, "refusal")] * 2)
+    model = pairs.refusals(rows)
+    assert model.size == (3, n - 3)
+    counts = pairs.language_counts(docs)["en"]
+    assert counts["=house"] == counts["=it"] == n and counts["=late"] == ids.filter("late").count() and counts["=late"] + counts["=early"] == n
+
+
+def test_refusal_scores_are_those_of_plain_counts(spark):
+    """Scores of a table against the same arithmetic over a list."""
+    said = [("Who?", a) for a in [*DECLINED, *ANSWERED, "I cannot answer that, sorry.", "I can't help with that request.", "Nelpel opened in 1950.", "Tor Bank was the town of Nelpel in 1960."]]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(said * 2)], "generation_id long, user_input string, generated_text string")
+    model = pairs.refusals(df)
+    seen = {"refusal": [], "stated": []}
+    for q, a in said * 2:
+        if (kind := pairs.first_look(q, a, model.common)) in seen:
+            seen[kind].append(pairs.answer_features(a))
+    assert model.size == (len(seen["refusal"]), len(seen["stated"])) and min(model.size) > 1
+    asked = spark.createDataFrame([(i, sorted(pairs.answer_features(a))) for i, (_, a) in enumerate(said)] + [(99, ["w:never"])], "row long, features array<string>")
+    got = {r["row"]: r["score"] for r in model.scores(asked).collect()}
+    share = lambda x, kind: math.log((sum(x in f for f in seen[kind]) + 0.5) / (len(seen[kind]) + 2))
+    known = set().union(*seen["refusal"], *seen["stated"])
+    for i, (_, a) in enumerate(said):
+        found = pairs.answer_features(a)
+        assert got[i] == pytest.approx(sum(share(x, "refusal") - share(x, "stated") for x in found & known) / math.sqrt(len(found) + 1))
+    assert got[99] == 0.0
+
+
 def test_languages_asked_for():
     assert pairs.asked_language("Please reply in French.") == {"fr"} and pairs.asked_language("Where is it in Paris?") == set()
 

@@ -1,16 +1,16 @@
 """Prompt and response pairs that do not work, with their defect.
 
 The language of prompt and response is judged by the posteriors of a naive Bayes model
-over character trigrams and words, fitted on a bounded sample of labelled documents of
-every language that the labels name. An end that is no end is judged by the likelihood
+over character trigrams and words, fitted on all labelled documents of every language
+that the labels name. An end that is no end is judged by the likelihood
 of the text's last n-gram: the shape of the last tokens (name, word, number, each mark
 by itself), counted over all responses, says how often a text ends after such a context.
 Refusals are told by a second model over words, pairs of words and character 4-grams,
-fitted on a bounded sample of the responses themselves: turns of phrase that decline in
-any grammar book, and answers that speak of themselves and state nothing, are its first
-refusals, answers that state a figure or a name that the prompt lacks are its others.
-It judges only answers that state nothing new. Copies and empty answers are plain
-comparisons.
+fitted on all responses themselves: turns of phrase that decline in any grammar book,
+and answers that speak of themselves and state nothing, are its first refusals, answers
+that state a figure or a name that the prompt lacks are its others. It judges only
+answers that state nothing new. Its counts grow with the answers, so they stay a table
+that the answers to judge are joined with. Copies and empty answers are plain comparisons.
 
 Defined results: the first that holds of empty, copied_question, refusal, truncated and
 other_language; a null or blank prompt can't be copied and has no language; a null
@@ -24,34 +24,37 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shape import hashed_sample
+from ..operators.skew import lookup_join
+from ..session import written
 from .overlap import common_length
 
-#: Labelled documents of each language that the language model is fitted on.
-SAMPLE = 1000
 #: A context that ends fewer than this share of the texts that reach it is no end.
 LEAST_END = 0.05
 #: Words of an answer below which its language is not judged.
 LEAST_WORDS = 5
 #: Share of unseen words from which an answer is in none of the known languages.
 UNKNOWN = 0.45
+#: Times that a document of a language has a word, on average, from which the word is the language's own: rarer ones are quoted or mislabelled.
+OWN = 0.002
 
-#: Responses that the model of refusals is fitted on; words in capitals that more than RARE of them have are no names.
-SAMPLE_ANSWERS, RARE = 8_000, 3
+#: Words in capitals that more than RARE responses have, and more than RARE in COMMON of them, are no names.
+RARE, COMMON = 3, 8_000
 #: Score from which an answer that states nothing new is a refusal, and the words it must have.
 DECLINES, LEAST_REFUSAL = 5.0, 3
-#: Posteriors from which a prompt is in a language and an answer in another, and documents that a label must have in the sample.
+#: Posteriors from which a prompt is in a language and an answer in another, and documents that a label must have.
 PROMPT_SURE, ANSWER_SURE, LEAST_DOCUMENTS = 0.75, 0.99, 3
-#: Languages of the model: more than the two-letter codes name.
-LANGUAGE_LIMIT = 500
 #: A character stands in three trigrams and in a word, so so many pieces of evidence count as one.
 OVERLAP = 4
+#: Counts that a task holds before it passes them on.
+HELD = 300_000
 
 # Turns of phrase that decline, what they are joined with, and what languages are called in prompts.
 REFUSAL = re.compile(
@@ -125,7 +128,7 @@ def foreign_capitals(prompt: str, answer: str) -> Iterator[str]:
 def says_nothing(prompt: str, answer: str) -> bool:
     """Speaks of itself or to the reader, without a number or a name that the prompt lacks."""
     text = answer.replace("’", "'")
-    if len(words_of(text)) < 5 or any(c.isdigit() for c in text) or not _PERSON.search(text.lower()):
+    if len(words_of(text)) < 5 or any(map(str.isdigit, text)) or not _PERSON.search(text.lower()):
         return False
     return next(foreign_capitals(prompt, answer), None) is None
 
@@ -146,53 +149,144 @@ def declines_plainly(answer: str, prompt: str = "") -> bool:
     return declines
 
 
+@lru_cache(1 << 15)
+def word_features(word: str) -> tuple[str, ...]:
+    padded = f"^{word}$"
+    return (f"w:{word}", *("c:" + padded[i : i + 4] for i in range(max(1, len(padded) - 3))))
+
+
 def answer_features(answer: str) -> set[str]:
     words = ["^", *words_of(answer), "$"]
     out = {f"b:{a} {b}" for a, b in zip(words, words[1:])}
     for w in words[1:-1]:
-        padded = f"^{w}$"
-        out.add(f"w:{w}")
-        out.update("c:" + padded[i : i + 4] for i in range(max(1, len(padded) - 3)))
+        out.update(word_features(w))
     return out
 
 
+def states(prompt: str, answer: str, common: set[str]) -> bool:
+    """Whether the answer has a figure, or a name, that the prompt lacks."""
+    return any(map(str.isdigit, answer)) or any(w not in common for w in foreign_capitals(prompt, answer))
+
+
+def first_look(prompt: str, answer: str | None, common: set[str]) -> str:
+    """empty, copied_question or refusal if that is plain; stated, or open if only the model can tell whether it declines."""
+    if is_empty(answer):
+        return "empty"
+    if is_copy(prompt, answer):
+        return "copied_question"
+    if declines_plainly(answer, prompt):
+        return "refusal"
+    return "stated" if states(prompt, answer, common) else "open"
+
+
+def common_names(responses: DataFrame) -> set[str]:
+    """Words in capitals that stand in too many responses to be names: at most COMMON / RARE times as many as a response has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["name", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.update({w for w in _LETTERS.findall(text.as_py()) if w[0].isupper()})
+                if len(held) > HELD:
+                    yield passed()
+                    held.clear()
+        yield passed()
+
+    texts = responses.filter("generated_text IS NOT NULL").select("generated_text")
+    least = max(RARE, texts.count() * RARE / COMMON)
+    return {r["name"] for r in texts.mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()}
+
+
+#: What looked_at makes: defects (generation_id, defect), answers to judge (the same, row, features) and counts (feature, declined, stated).
+LOOKED_AT = "generation_id long, defect string, row long, features array<string>, feature string, declined long, stated long"
+
+
+def looked_at(responses: DataFrame, common: set[str], others: Callable[[], Callable[[str, str], str | None]] | None = None) -> DataFrame:
+    """One reading of all responses, see LOOKED_AT; ``others`` makes the test for the defects that come after a refusal. Without it there are counts only.
+
+    The feature '' counts the answers.
+    """
+    shared = responses.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, test = shared.value, others() if others else None
+        row = TaskContext.get().partitionId() << 40
+        declined: Counter = Counter()
+        stated: Counter = Counter()
+        schema = pa.schema([("generation_id", pa.int64()), ("defect", pa.string()), ("row", pa.int64()), ("features", pa.list_(pa.string())), ("feature", pa.string()), ("declined", pa.int64()), ("stated", pa.int64())])
+
+        def made(**columns: list) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def counted() -> pa.RecordBatch:
+            every = list(declined.keys() | stated.keys())
+            return made(feature=every, declined=[declined[x] for x in every], stated=[stated[x] for x in every])
+
+        for batch in batches:
+            ids, out, rows, found = [], [], [], []
+            for i, prompt, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                prompt = prompt or ""
+                kind = first_look(prompt, answer, names)
+                if kind in ("refusal", "stated"):
+                    (declined if kind == "refusal" else stated).update(("", *answer_features(answer)))
+                    if len(declined) + len(stated) > HELD:
+                        yield counted()
+                        declined.clear()
+                        stated.clear()
+                if test is None:
+                    continue
+                defect = test(prompt, answer) if kind in ("stated", "open") else kind
+                judged = kind == "open" and len(words_of(answer)) >= LEAST_REFUSAL
+                if judged or defect:
+                    ids.append(i)
+                    out.append(defect)
+                    rows.append(row if judged else None)
+                    found.append(sorted(answer_features(answer)) if judged else None)
+                    row += judged
+            yield made(generation_id=ids, defect=out, row=rows, features=found)
+        yield counted()
+
+    return responses.select(F.col("generation_id").cast("long").alias("generation_id"), "user_input", "generated_text").mapInArrow(run, LOOKED_AT)
+
+
 class Refusals:
-    """Naive Bayes: answers that decline against answers that state something."""
-
-    def __init__(self, sample: list[tuple[str, str]]):
-        held = Counter(w for _, a in sample for w in set(_LETTERS.findall(a)))
-        self.common = {w for w, n in held.items() if n > RARE}
-        declined, stated, size = Counter(), Counter(), [0, 0]
-        for prompt, answer in sample:
-            if is_empty(answer) or is_copy(prompt, answer):
-                continue
-            if declines_plainly(answer, prompt):
-                declined.update(answer_features(answer))
-                size[0] += 1
-            elif self.states(prompt, answer):
-                stated.update(answer_features(answer))
-                size[1] += 1
-        self.ready = size[0] > 0
-        self.weight = {x: math.log((declined[x] + 0.5) / (size[0] + 2)) - math.log((stated[x] + 0.5) / (size[1] + 2)) for x in declined.keys() | stated.keys()}
-
-    def states(self, prompt: str, answer: str) -> bool:
-        """Whether the answer has a figure, or a name, that the prompt lacks."""
-        return any(c.isdigit() for c in answer) or any(w not in self.common for w in foreign_capitals(prompt, answer))
-
-    def score(self, answer: str) -> float:
-        found = answer_features(answer)
-        return sum(self.weight.get(x, 0.0) for x in found) / math.sqrt(len(found) + 1)
+    """Naive Bayes: answers that decline against answers that state something, counted over all responses."""
+
+    def __init__(self, common: set[str], looked: DataFrame):
+        self.common = common
+        counts = looked.filter("feature IS NOT NULL").select("feature", "declined", "stated")
+        size = counts.filter("feature = ''").agg(F.sum("declined"), F.sum("stated")).first()
+        self.size = (size[0] or 0, size[1] or 0)
+        self.ready = self.size[0] > 0
+        share = lambda name, n: F.log((F.sum(name) + 0.5) / (n + 2))
+        self.weights = counts.filter("feature <> ''").groupBy("feature").agg((share("declined", self.size[0]) - share("stated", self.size[1])).alias("weight"))
+
+    def scores(self, answers: DataFrame) -> DataFrame:
+        """``answers`` (row, features and others) with their score."""
+        said = answers.select("row", F.explode("features").alias("feature"))
+        sums = lookup_join(said, self.weights, "feature").groupBy("row").agg(F.sum("weight").alias("_weight"))
+        return answers.join(sums, "row", "left").withColumn("score", F.coalesce("_weight", F.lit(0.0)) / F.sqrt(F.size("features") + 1)).drop("_weight")
 
     def declines(self, prompt: str, answer: str) -> bool:
+        """Of a single answer; a table goes through ``scores``."""
         if declines_plainly(answer, prompt):
             return True
-        return self.ready and len(words_of(answer)) >= LEAST_REFUSAL and not self.states(prompt, answer) and self.score(answer) >= DECLINES
+        if not self.ready or len(words_of(answer)) < LEAST_REFUSAL or states(prompt, answer, self.common):
+            return False
+        found = answer_features(answer)
+        weight = self.weights.filter(F.col("feature").isin(*found)).agg(F.sum("weight")).first()[0] or 0.0
+        return weight / math.sqrt(len(found) + 1) >= DECLINES
 
 
 def refusals(responses: DataFrame) -> Refusals:
-    """The model, fitted on about SAMPLE_ANSWERS responses chosen by a hash of their id."""
-    rows = hashed_sample(responses.filter("generated_text IS NOT NULL").select("generation_id", "user_input", "generated_text"), "generation_id", SAMPLE_ANSWERS).collect()
-    return Refusals([(r["user_input"] or "", r["generated_text"]) for r in rows])
+    """The model, fitted on all responses."""
+    common = common_names(responses)
+    return Refusals(common, written(looked_at(responses, common), "refusals"))
 
 
 def shape(text: str) -> list[str]:
@@ -220,21 +314,27 @@ def open_bracket(text: str) -> bool:
     return any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}"))
 
 
+def letters_of(text: str) -> list[str]:
+    return _LETTERS.findall(text.lower() if text == text.upper() else text)
+
+
+@lru_cache(1 << 15)
+def grams_of(word: str) -> tuple[str, ...]:
+    if word != word.lower():
+        return ()
+    padded = f" {word} "
+    return (*(padded[i : i + 3] for i in range(len(padded) - 2)), "=" + word)
+
+
 def trigrams(text: str) -> list[str]:
     """Character trigrams of the words in lower case, and the words (marked by =); names say nothing about a language."""
-    out = []
-    shouted = text == text.upper()
-    for w in _LETTERS.findall(text.lower() if shouted else text):
-        if w == w.lower():
-            padded = f" {w} "
-            out += [padded[i : i + 3] for i in range(len(padded) - 2)]
-            out.append("=" + w)
-    return out
+    return [g for w in letters_of(text) for g in grams_of(w)]
 
 
 def size_of(text: str) -> int:
     """Words; in scripts without blanks every character counts as one."""
-    return sum(len(_UNSPACED.findall(w)) or 1 for w in words_of(text))
+    words = words_of(text)
+    return len(words) if text.isascii() else sum(w.isascii() or len(_UNSPACED.findall(w)) or 1 for w in words)
 
 
 def extent(text: str) -> int:
@@ -250,26 +350,32 @@ def script(text: str) -> str:
 
 def is_caseless(text: str) -> bool:
     """Whether most letters are of a script without capitals."""
-    letters = [c for c in text if c.isalpha()]
-    return 2 * sum(c.lower() == c.upper() for c in letters) > len(letters)
+    if text.isascii():
+        return False
+    return 2 * sum(c.lower() == c.upper() for c in text if c > "\x7f" and c.isalpha()) > sum(map(str.isalpha, text))
 
 
 class Languages:
     """Naive Bayes over character trigrams."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
-        seen = {g for table in counts.values() for g in table}
+        seen = {g for table in counts.values() for g in table if g}
         self.names = sorted(counts)
-        self.log, self.rare = {}, {}
+        self.log, self.rare, self.words = {}, {}, {}
         for name in self.names:
-            table, total = counts[name], sum(counts[name].values()) + 0.5 * (len(seen) + 1)
+            table = {g: n for g, n in counts[name].items() if g}
+            total = sum(table.values()) + 0.5 * (len(seen) + 1)
             self.log[name] = {g: math.log((n + 0.5) / total) for g, n in table.items()}
             self.rare[name] = math.log(0.5 / total)
+            self.words[name] = {g for g, n in table.items() if g[0] == "=" and n >= OWN * counts[name][""]}
+        # Log-likelihoods of a trigram in all languages; about a million numbers are kept.
+        self.evidence = lru_cache((1 << 20) // (len(self.names) + 1))(lambda g: [self.log[name].get(g, self.rare[name]) for name in self.names])
 
     def scores(self, grams: list[str]) -> dict[str, float]:
         """Mean log-likelihood of a trigram in each language."""
-        n = max(1, len(grams))
-        return {name: sum(self.log[name].get(g, self.rare[name]) for g in grams) / n for name in self.names}
+        if not grams:
+            return dict.fromkeys(self.names, 0.0)
+        return {name: total / len(grams) for name, total in zip(self.names, map(sum, zip(*map(self.evidence, grams))))}
 
     def posterior(self, grams: list[str]) -> dict[str, float]:
         """Probability of each language, all alike beforehand; evidence that overlaps counts once."""
@@ -282,28 +388,38 @@ class Languages:
     def unknown(self, grams: list[str], name: str) -> float:
         """Share of words that the language does not have."""
         words = [g for g in grams if g[0] == "="]
-        return sum(g not in self.log[name] for g in words) / max(1, len(words))
+        return sum(g not in self.words[name] for g in words) / max(1, len(words))
 
 
-def language_counts(documents: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, int]]:
-    """Trigram counts of about ``sample`` documents of each language that the labels name, chosen by a hash of their id."""
+def language_counts(documents: DataFrame) -> dict[str, dict[str, int]]:
+    """How often all documents of each language that the labels name have each trigram and word; '' counts the documents."""
     labelled = documents.withColumn("lang", F.lower(F.trim("lang"))).filter("lang <> '' AND text IS NOT NULL").filter(~F.col("lang").isin(*NO_LANGUAGE))
-    per = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_DOCUMENTS).orderBy(F.desc("_n"), "lang").limit(LANGUAGE_LIMIT)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("_n") < F.lit((1 << 40) * float(sample))
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(per), "lang").filter(share)  # at most LANGUAGE_LIMIT rows
+    per = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_DOCUMENTS)
+    out: dict[str, dict[str, int]] = {r["lang"]: {"": r["_n"]} for r in per.collect()}  # one row for a language
+    named = set(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter = Counter()
+        words: Counter = Counter()
+
+        def passed() -> pa.RecordBatch:
+            every: Counter = Counter()
+            for (lang, w), n in words.items():
+                for g in grams_of(w):
+                    every[lang, g] += n
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in every], pa.string()), pa.array([k[1] for k in every], pa.string()), pa.array(list(every.values()), pa.int64())], names=["lang", "gram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (t := text.as_py()) is not None:
-                    every.update((lang, g) for g in trigrams(t))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in every], pa.string()), pa.array([k[1] for k in every], pa.string()), pa.array(list(every.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    rows = texts.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    out: dict[str, dict[str, int]] = {}
-    for r in rows.filter("n >= 2").collect():  # trigrams and words of the sample, which bounds them
-        out.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+                if (t := text.as_py()) is not None and lang in named:
+                    words.update((lang, w) for w in letters_of(t))
+                    if len(words) > HELD:
+                        yield passed()
+                        words.clear()
+        yield passed()
+
+    rows = labelled.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    for r in rows.filter("n >= 2").collect():  # trigrams and words: these grow as the vocabulary, not as the documents
+        out[r["lang"]][r["gram"]] = r["n"]
     return out
 
 
@@ -374,31 +490,26 @@ def is_other_language(prompt: str, answer: str, model: Languages) -> bool:
 def defects(responses: DataFrame, documents: DataFrame) -> DataFrame:
     """generation_id, defect of each pair that has one."""
     spark = responses.sparkSession
-    shared = spark.sparkContext.broadcast((language_counts(documents), end_shares(responses), refusals(responses)))
+    common = common_names(responses)
+    shared = spark.sparkContext.broadcast((language_counts(documents), end_shares(responses)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ends, declining = shared.value
+    def others() -> Callable[[str, str], str | None]:
+        counts, ends = shared.value
         model = Languages(counts)
-        for batch in batches:
-            ids, out = [], []
-            for i, prompt, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                prompt = prompt or ""
-                if is_empty(answer):
-                    defect = "empty"
-                elif is_copy(prompt, answer):
-                    defect = "copied_question"
-                elif declining.declines(prompt, answer):
-                    defect = "refusal"
-                elif (caseless := is_caseless(answer)) and is_other_language(prompt, answer, model):  # not every script has end marks
-                    defect = "other_language"
-                elif is_truncated(answer, ends):
-                    defect = "truncated"
-                elif not caseless and is_other_language(prompt, answer, model):
-                    defect = "other_language"
-                else:
-                    continue
-                ids.append(i)
-                out.append(defect)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["generation_id", "defect"])
 
-    return responses.select(F.col("generation_id").cast("long").alias("generation_id"), "user_input", "generated_text").mapInArrow(run, "generation_id long, defect string")
+        def test(prompt: str, answer: str) -> str | None:
+            if (caseless := is_caseless(answer)) and is_other_language(prompt, answer, model):  # not every script has end marks
+                return "other_language"
+            if is_truncated(answer, ends):
+                return "truncated"
+            return "other_language" if not caseless and is_other_language(prompt, answer, model) else None
+
+        return test
+
+    looked = written(looked_at(responses, common, others), "responses")
+    model = Refusals(common, looked)
+    plain = looked.filter("defect IS NOT NULL AND row IS NULL").select("generation_id", "defect")
+    judged = looked.filter("row IS NOT NULL").select("generation_id", "defect", "row", "features")
+    if model.ready:
+        judged = model.scores(judged).withColumn("defect", F.when(F.col("score") >= DECLINES, "refusal").otherwise(F.col("defect")))
+    return plain.unionByName(judged.filter("defect IS NOT NULL").select("generation_id", "defect"))
