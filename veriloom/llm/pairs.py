@@ -26,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -158,8 +159,7 @@ def word_features(word: str) -> tuple[str, ...]:
 def answer_features(answer: str) -> set[str]:
     words = ["^", *words_of(answer), "$"]
     out = {f"b:{a} {b}" for a, b in zip(words, words[1:])}
-    for w in words[1:-1]:
-        out.update(word_features(w))
+    out.update(*map(word_features, words[1:-1]))
     return out
 
 
@@ -233,7 +233,9 @@ def looked_at(responses: DataFrame, common: set[str], others: Callable[[], Calla
                 prompt = prompt or ""
                 kind = first_look(prompt, answer, names)
                 if kind in ("refusal", "stated"):
-                    (declined if kind == "refusal" else stated).update(("", *answer_features(answer)))
+                    counts = declined if kind == "refusal" else stated
+                    counts.update(answer_features(answer))
+                    counts[""] += 1
                     if len(declined) + len(stated) > HELD:
                         yield counted()
                         declined.clear()
@@ -289,20 +291,21 @@ def refusals(responses: DataFrame) -> Refusals:
     return Refusals(common, written(looked_at(responses, common), "refusals"))
 
 
+@lru_cache(1 << 15)
+def token_kind(token: str) -> str:
+    c = token[0]
+    if c.isdigit():
+        return "9"
+    if c.isalpha():
+        return "N" if c.isupper() else "w"
+    if c == "\n":
+        return "|"
+    return {"“": '"', "”": '"', "…": "...", "’": "'", "。": ".", "۔": ".", "।": ".", "！": "!", "？": "?", "؟": "?"}.get(c, c if c.isascii() else "*")
+
+
 def shape(text: str) -> list[str]:
     """Tokens by kind: N a name or capitalised word, w another word, 9 a number, a break, ASCII marks as they are, * for others."""
-    out = ["^"]
-    for t in _SHAPE.findall(text.strip()):
-        c = t[0]
-        if c.isdigit():
-            out.append("9")
-        elif c.isalpha():
-            out.append("N" if c.isupper() else "w")
-        elif c == "\n":
-            out.append("|")
-        else:
-            out.append({"“": '"', "”": '"', "…": "...", "’": "'", "。": ".", "۔": ".", "।": ".", "！": "!", "？": "?", "؟": "?"}.get(c, c if c.isascii() else "*"))
-    return out
+    return ["^", *map(token_kind, _SHAPE.findall(text.strip()))]
 
 
 def contexts(tokens: list[str], n: int = 3) -> list[str]:
@@ -328,7 +331,7 @@ def grams_of(word: str) -> tuple[str, ...]:
 
 def trigrams(text: str) -> list[str]:
     """Character trigrams of the words in lower case, and the words (marked by =); names say nothing about a language."""
-    return [g for w in letters_of(text) for g in grams_of(w)]
+    return list(chain.from_iterable(map(grams_of, letters_of(text))))
 
 
 def size_of(text: str) -> int:
@@ -339,7 +342,8 @@ def size_of(text: str) -> int:
 
 def extent(text: str) -> int:
     """The size of what tells a language: words without capitals, or all of a text in capitals."""
-    return size_of(" ".join(w for w in _LETTERS.findall(text.lower() if text == text.upper() else text) if w == w.lower()))
+    words = [w for w in letters_of(text) if w == w.lower()]
+    return len(words) if text.isascii() else size_of(" ".join(words))
 
 
 def script(text: str) -> str:
@@ -399,22 +403,28 @@ def language_counts(documents: DataFrame) -> dict[str, dict[str, int]]:
     named = set(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words: dict[str, Counter] = {}
+        held = 0
 
         def passed() -> pa.RecordBatch:
             every: Counter = Counter()
-            for (lang, w), n in words.items():
-                for g in grams_of(w):
-                    every[lang, g] += n
+            for lang, own in words.items():
+                for w, n in own.items():
+                    for g in grams_of(w):
+                        every[lang, g] += n
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in every], pa.string()), pa.array([k[1] for k in every], pa.string()), pa.array(list(every.values()), pa.int64())], names=["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if (t := text.as_py()) is not None and lang in named:
-                    words.update((lang, w) for w in letters_of(t))
-                    if len(words) > HELD:
+                    own = words.setdefault(lang, Counter())
+                    before = len(own)
+                    own.update(letters_of(t))
+                    held += len(own) - before
+                    if held > HELD:
                         yield passed()
                         words.clear()
+                        held = 0
         yield passed()
 
     rows = labelled.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
